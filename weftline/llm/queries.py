@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing
+from . import bpe, exact_dedup, minhash, mixing, packing, quality_rules
 from .common import table, work_path
 
 
@@ -37,13 +37,44 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.write_and_read(docs, tokenizer_file("byte_bpe_50k.json"), path, vocabulary=50_257, end=2)
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def mix_weights() -> dict[str | None, float]:
+    """Target weights: the first source four parts, the next four two each, others one."""
+    return {f"src{i}": 4.0 if i == 0 else 2.0 if i < 5 else 1.0 for i in range(20)}
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    mixed = mixing.mix(docs, mix_weights())
+    names = ("phase", "block", "release", "due", "slot", "position")
+    return mixed.withColumnsRenamed({f"__{n}": n for n in names})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
         op2_byte_bpe,
         op3_token_output,
+        op7_exact_dedup,
+        op8_quality_rules,
+        op10_source_mixing,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_points,
+                          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER (w ORDER BY n_points DESC, doc_id) AS keep_id,
+               count(*) OVER w AS group_size, doc_id = first_value(doc_id) OVER (w ORDER BY n_points DESC, doc_id) AS kept,
+               h AS text_sha256, n_points
+        FROM d WINDOW w AS (PARTITION BY h)""",
+}
