@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ from .common import bound_batches, id_and_text
 MAGIC, HEAD = b"WFT1", "<4sIIIQQ"
 BLOCK = 4096
 #: A shard is closed once it holds so many ids.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
 NO_ID = -(2**63)
 
 
@@ -119,14 +119,14 @@ class JsonTokenizer:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         self.alone = bool(plain) and not spec.get("normalizer") and not spec.get("post_processor")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split, self.known = Splitter(self.PATTERN), Remembered(self._encode)
+        self.split, self.known = Splitter(self.PATTERN), Remembered(self._one)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def _one(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.alone or any(s in text for s in self.special):
-            return self._encode([text])[0]
+            return self._one(text)
         return self.known.join(self.split(text))
 
 
@@ -168,42 +168,45 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], byte
     dealt.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary").write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with the number of ids before each: sums within a part, then
+def starts(shards: DataFrame) -> DataFrame:
+    """(part, seq, start): the ids before each shard, as sums within a part and
     over the parts, whose number doesn't depend on the rows of a part."""
-    shards = spark.read.parquet(path)
     sizes = shards.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(parts), "part")
-    starts = starts.select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    return shards.join(starts, ["part", "seq"])
+    sizes = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part")
+    return sizes.select("part", "seq", (F.col("before") + F.col("inside")).alias("begin"))
 
 
 def documents_of(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards.
+
+    Only a row of a few numbers a document meets the shards' starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, raw in zip(batch.column("start").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+            for i in range(batch.num_rows):
+                part, seq, raw = (batch.column(k)[i].as_py() for k in ("part", "seq", "shard"))
                 s = Shard(raw)
                 ids = s.ids(0, s.n_ids).astype("<u4")
                 begins = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, s.ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None if i == NO_ID else i for i in s.doc_ids.tolist()], pa.int64()),
-                        pa.array(begins + start),
-                        pa.array(s.ends - begins),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    few = shards.select("start", "shard")
-    return few.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                n = len(begins)
+                cols = [
+                    pa.array(np.full(n, part, np.int32)),
+                    pa.array(np.full(n, seq, np.int32)),
+                    pa.array([None if x == NO_ID else x for x in s.doc_ids.tolist()], pa.int64()),
+                    pa.array(begins),
+                    pa.array(s.ends - begins),
+                    pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, s.ends, strict=True)], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_id", "own", "n_tokens", "ids_crc32"])
+
+    few = shards.select("part", "seq", "shard")
+    rows = few.mapInArrow(run, "part int, seq int, doc_id long, own long, n_tokens long, ids_crc32 long")
+    rows = rows.join(starts(shards), ["part", "seq"])
+    return rows.select("doc_id", (F.col("begin") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(
@@ -221,4 +224,4 @@ def write_and_read(
         return per_worker(("json", tokenizer), lambda: JsonTokenizer(tokenizer)).encode
 
     write(id_and_text(docs, id_col, text_col), path, encoder, vocabulary, end)
-    return documents_of(read(docs.sparkSession, path))
+    return documents_of(docs.sparkSession.read.parquet(path))
