@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, mixing, packing, quality_rules
+from . import bpe, exact_dedup, minhash, mixing, packing, quality_rules, secrets
 from .common import table, work_path
 
 
@@ -37,6 +37,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.write_and_read(docs, tokenizer_file("byte_bpe_50k.json"), path, vocabulary=50_257, end=2)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_minhash_near_dedup,
         op2_byte_bpe,
         op3_token_output,
+        op4_secret_scan,
         op7_exact_dedup,
         op8_quality_rules,
         op10_source_mixing,
