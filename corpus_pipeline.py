@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each apply one training-data operator."""
+"""The corpus pipeline: stages that each apply one training-data operator.
+
+Toxic documents go, then exact duplicates, then near duplicates; the rest is put
+in the order of the sources' mix and encoded.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import queries
-from weftline.llm.common import materialise
+from weftline.llm import bpe, exact_dedup, minhash, mixing, toxicity
+from weftline.llm.common import materialise, table
+from weftline.llm.queries import mix_weights, splitting_pattern, tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    score = toxicity.scorer(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score("text") < 0.7)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_first(docs, materialise(exact_dedup.exact_duplicates(docs), "exact"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_first(docs, minhash.near_duplicates(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs, mix_weights())
+    return mixing.in_order(mixed, docs.select("doc_id").count()).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), splitting_pattern()
+    return bpe.round_trip(docs, path, pattern, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
 
 #: Learned scores, near-duplicate components and token ids have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import bound_batches, id_and_text, map_text
 
@@ -196,21 +195,25 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding, then decoding
-    of the ids, digested where they are made so that neither is shuffled.
-    Cases as for ``encode``."""
+    of the ids, digested where they are made so that neither is shuffled; also ids
+    (array<int>) if ``with_ids``.  Cases as for ``encode``."""
 
     def run(texts: list[str]) -> dict[str, list]:
         b = _bpe(path, pattern)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for t in texts:
             ids = b.encode(t)
             out["n_tokens"].append(len(ids) // 4)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(b.decode(ids)).hexdigest())
+            if with_ids:
+                out["ids"].append(np.frombuffer(ids, "<i4"))
         return out
 
     bound_batches(docs.sparkSession)
-    made = map_text(id_and_text(docs, id_col, text_col), run, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["_id"])
-    return made.select(F.col("_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_text(id_and_text(docs, id_col, text_col), run, schema, ["_id"]).withColumnRenamed("_id", "doc_id")

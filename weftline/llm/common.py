@@ -50,6 +50,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids (8 bytes each) that are broadcast at most.
+FEW = 1_000_000
+
+
+def sized(keys: DataFrame, name: str) -> DataFrame:
+    """Materialised keys for a join: broadcast if their count is at most FEW, so
+    that the other side's texts stay where they are; left to a shuffle beyond."""
+    keys = materialise(keys, name)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames which nothing reads any more."""
     for df in frames:
@@ -97,3 +108,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def held_out(id_col: str) -> "F.Column":
     """Whether a row is kept from learning: crc32(id as text) mod 3 is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int, chars: int) -> list[tuple[str, int]]:
+    """(text, label) of at most ``rows`` labelled rows for the driver to learn from:
+    those with the smallest hash of the id that aren't held out, without texts of
+    more than ``chars`` characters.  The ids are chosen first, so only the chosen
+    texts are moved."""
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    known = known.where(~held_out("_id") & F.col("_y").isNotNull() & F.col("_id").isNotNull())
+    known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    found = docs.where(F.length("_t") <= chars).join(F.broadcast(known), "_id").groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y"))
+    return sorted((r["_t"], r["_y"]) for r in found.collect())

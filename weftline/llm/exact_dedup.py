@@ -12,14 +12,13 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_and_text, map_text, materialise
+from .common import bound_batches, id_and_text, map_text, materialise, sized
 
 #: Digests a filter holds on average: a bucket's keys are one task's memory.
 KEYS_PER_BUCKET = 1 << 17
@@ -208,9 +207,9 @@ def keep_first(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text
     A doc_id that stands in one row is decided by it alone; the rows of a repeated
     doc_id are told apart by digest and code points."""
     ids = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any"))
-    one = ids.where("n = 1 and any").select(F.col("doc_id").alias("__one"))
-    single = docs.join(one, F.col(id_col).eqNullSafe(F.col("__one")), "left_semi")
-    several = ids.where("n > 1 and any").select(F.col("doc_id").alias("__several"))
+    other = sized(ids.where("n > 1 or not any").select(F.col("doc_id").alias("__other")), "other")
+    single = docs.join(other, F.col(id_col).eqNullSafe(F.col("__other")), "left_anti")
+    several = sized(ids.where("n > 1 and any").select(F.col("doc_id").alias("__several")), "several")
     again = docs.join(several, F.col(id_col).eqNullSafe(F.col("__several")), "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
     again = again.withColumn("__sha", F.sha2(F.regexp_replace(text, "[ \\t-\\r]+", "").cast("binary"), 256)).withColumn("__n", F.length(text))

@@ -28,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, id_and_text, map_text, materialise
+from .common import bound_batches, discard, id_and_text, map_text, materialise, sized
 from .components import components
 
 WIDTH, BANDS, ROWS, BATCH = 5, 32, 4, 32
 K = BANDS * ROWS
 #: Buckets of at most so many members are paired in full on the second pass.
 SMALL = 16
-#: Ids (8 bytes each) that are broadcast at most.
-FEW = 1_000_000
 #: Rows a side of a block in which larger buckets are compared.
 BLOCK = 1024
 
@@ -155,14 +153,6 @@ def _verify(threshold_pct: int):
     return run
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The documents with an id in ``nodes`` (_id, distinct).  Up to FEW ids, which
-    are counted first, go to every executor, so that only their texts are moved;
-    beyond that the join is left to shuffle the texts."""
-    nodes = materialise(nodes, "nodes")
-    return docs.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "_id", "left_semi")
-
-
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
     """The pairs (a, b) of representatives that are links."""
     sig = reps.select("node", "sig")
@@ -171,7 +161,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold_pct: in
     )
     likely = materialise(known.mapInArrow(_prune(threshold_pct / 100, miss), "a long, b long, equal int"), "likely")
     nodes = likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))).distinct()
-    text = _texts(docs, nodes)
+    text = docs.join(sized(nodes, "nodes"), "_id", "left_semi")
     full = likely.select("a", "b").join(text.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
     full = full.join(text.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a")
     return full.mapInArrow(_verify(threshold_pct), "a long, b long").distinct()
@@ -229,7 +219,7 @@ def _block_links(large: DataFrame, docs: DataFrame, threshold_pct: int) -> DataF
         "key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), (spread % F.col("nr")).cast("int").alias("j")
     )
     nodes = large.select(F.col("node").alias("_id")).distinct()
-    sets = map_text(_texts(docs, nodes), emit, "s array<bigint>", ["_id"]).withColumnRenamed("_id", "node")
+    sets = map_text(docs.join(sized(nodes, "nodes"), "_id", "left_semi"), emit, "s array<bigint>", ["_id"]).withColumnRenamed("_id", "node")
     rows = left.unionByName(right).join(sets, "node")
     return rows.groupBy("key", "i", "j").applyInArrow(_block(threshold_pct), "a long, b long").distinct()
 
@@ -285,3 +275,10 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; rows without a
+    doc_id stay."""
+    dropped = decided.where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(sized(dropped, "dropped"), F.col(id_col) == F.col("__drop"), "left_anti")

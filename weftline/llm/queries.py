@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, mixing, packing, quality_rules, secrets
+from . import bpe, exact_dedup, host_paths, minhash, mixing, packing, quality_knn, quality_rules, secrets, toxicity
 from .common import table, work_path
 
 
@@ -41,6 +41,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.main_text(table(spark, sf_dir, "pages"))
+
+
 def mix_weights() -> dict[str | None, float]:
     """Target weights: the first source four parts, the next four two each, others one."""
     return {f"src{i}": 4.0 if i == 0 else 2.0 if i < 5 else 1.0 for i in range(20)}
@@ -68,8 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_byte_bpe,
         op3_token_output,
         op4_secret_scan,
+        op5_toxicity,
+        op6_quality_knn,
         op7_exact_dedup,
         op8_quality_rules,
+        op9_html_consensus,
         op10_source_mixing,
     )
 }
