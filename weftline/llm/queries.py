@@ -89,7 +89,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _quality_sql() -> str:
+    """The rules in SQL: windows are numbered words joined by a space."""
+    q = quality_rules
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    size = lambda x, p: f"(length({x}) - length(regexp_replace({x}, {quote(p)}, '', 'g')))"
+    chars = lambda x: f"length(regexp_replace({x}, {quote(q.SPACE)}, '', 'g'))"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, {quote(q.SPACE)}), lambda x: x <> '') AS ws FROM d),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+        twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+        rep AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS n FROM twice) GROUP BY doc_id),
+        l AS (SELECT * FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, {quote(q.WORD)})),
+        j AS (SELECT *, len(regexp_extract_all(line, {quote(q.WORD)})) AS n FROM l),
+        f AS (SELECT *, 2 * {size("line", q.MARKS)} >= n OR (n < {q.SHORT_LINE} AND NOT regexp_matches(line, {quote(q.TERMINAL)}))
+            OR ({size("line", q.SEPARATORS)} >= 3 AND 3 * {size("line", q.SEPARATORS)} >= n) OR regexp_matches(line, {quote(q.BOILERPLATE)}) AS fails FROM j),
+        g AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, coalesce(sum({chars("line")}) FILTER (fails), 0) AS removed FROM f GROUP BY doc_id),
+        o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({chars("t")} AS BIGINT) AS word_chars, CAST({size("t", q.SYMBOLS)} AS BIGINT) AS n_symbols,
+            CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS INT) AS removed_chars
+            FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN g USING (doc_id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o)
+        SELECT *, NOT base_failed AND 100 * removed_chars <= 50 * word_chars AS kept FROM b"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": _quality_sql(),
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_points,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents)
