@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import lang as L
 from weftline.functions import text as T
+from weftline.operators import convert as V
 from weftline.operators import detect as D
 from weftline.operators import jobs as J
 from weftline.operators import rows as R
@@ -456,3 +457,70 @@ def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("doc_id")
     chapter = F.when(F.count(head).over(w) >= 2, F.count(head).over(w.orderBy("pos"))).otherwise(0)
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), chapter.cast("long").alias("chapter"))
+
+
+# ---- conversions by parsers and codecs
+
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("raw"), F.array(F.lit("html"), F.lit("md")).alias("path"))
+    return V.convert(p, "raw", "path").select("page_id", F.col("result").cast("string").alias("markdown"), "error_code")
+
+
+@query()
+def pages_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as Word, EPUB and PDF; sizes and the first bytes."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("raw"))
+    p = p.withColumn("dst", F.explode(F.array(*map(F.lit, ("docx", "epub", "pdf"))))).withColumn("path", F.array(F.lit("html"), F.col("dst")))
+    out = V.convert(p, "raw", "path")
+    return out.select("page_id", "dst", F.octet_length("result").alias("size"), F.substring("result", 1, 4).cast("string").alias("magic"), "error_code")
+
+
+def _tree(dst: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = table(spark, sf_dir, "region").select("r_regionkey", F.to_json(F.struct("*")).cast("binary").alias("raw"), F.array(F.lit("json"), F.lit(dst)).alias("path"))
+        return V.convert(r, "raw", "path").select("r_regionkey", F.col("result").cast("string").alias("text"), "error_code")
+
+    run.__name__ = f"tree_to_{dst}"
+    return run
+
+
+query("""SELECT r_regionkey, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<root>' || chr(10) || '  <r_name>' || r_name || '</r_name>' || chr(10) ||
+    '  <r_regionkey>' || r_regionkey || '</r_regionkey>' || chr(10) || '</root>' || chr(10) AS text, CAST(NULL AS VARCHAR) AS error_code FROM region""")(_tree("xml"))
+query("SELECT r_regionkey, 'r_regionkey: ' || r_regionkey || chr(10) || 'r_name: ' || r_name || chr(10) AS text, CAST(NULL AS VARCHAR) AS error_code FROM region")(_tree("yaml"))
+query("""SELECT r_regionkey, 'r_regionkey = ' || r_regionkey || chr(10) || 'r_name = "' || r_name || '"' || chr(10) AS text, CAST(NULL AS VARCHAR) AS error_code FROM region""")(_tree("toml"))
+
+
+@query("SELECT source, count(*) AS entries, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def pack_and_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source packed as archives and read back."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("doc"), F.col("doc_id") % 50, F.lit(".txt")).alias("name"), "text")
+    packed = V.pack(d, "source", "name", "text", "tgz", "doc_id")
+    entries = V.unpack(packed.withColumn("fmt", F.lit("tgz")), "source", "data", "fmt")
+    return entries.groupBy("source").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+
+
+@query("""SELECT l_orderkey, count(*) AS rows, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem GROUP BY l_orderkey""")
+def sheets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table per order as a workbook, read back as CSV."""
+    li = table(spark, sf_dir, "lineitem")
+    line = F.concat_ws(",", F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.col("l_quantity").cast("string"))
+    g = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    g = g.select("l_orderkey", F.concat(F.lit("n,flag,quantity\n"), F.col("body")).cast("binary").alias("raw"), F.array(*map(F.lit, ("csv", "xlsx", "csv"))).alias("path"))
+    back = V.convert(g, "raw", "path").select("l_orderkey", F.explode(F.split(F.rtrim(F.col("result").cast("string")), "\n", -1)).alias("line"))
+    back = back.where("line not in ('', 'n,flag,quantity')").select("l_orderkey", F.substring_index("line", ",", 1).try_cast("long").alias("n"))
+    return back.groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.sum("n").alias("numbers"))
+
+
+@query()
+def picture_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings drawn as small Netpbm pictures, through every own codec and back."""
+    e = table(spark, sf_dir, "embeddings")
+    level = F.transform(F.slice("embedding", F.lit(1), F.lit(48)), lambda x: F.pmod((x * 100).cast("int"), F.lit(256)).cast("string"))
+    pnm = F.concat(F.lit("P3\n4 4\n255\n"), F.array_join(level, " "))
+    path = F.array(*map(F.lit, ("pnm", "png", "qoi", "tga", "bmp", "pnm")))
+    p = e.where(F.size("embedding") >= 48).select("vec_id", pnm.cast("binary").alias("raw"), path.alias("path"), F.array_join(level, ",").alias("want"))
+    out = V.convert(p, "raw", "path")
+    return out.select("vec_id", F.octet_length("result").alias("size"), F.sha2("result", 256).alias("sha256"), "error_code")
