@@ -107,13 +107,25 @@ def _quality_sql() -> str:
             OR ({size("line", q.SEPARATORS)} >= 3 AND 3 * {size("line", q.SEPARATORS)} >= n) OR regexp_matches(line, {quote(q.BOILERPLATE)}) AS fails FROM j),
         g AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, coalesce(sum({chars("line")}) FILTER (fails), 0) AS removed FROM f GROUP BY doc_id),
         o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({chars("t")} AS BIGINT) AS word_chars, CAST({size("t", q.SYMBOLS)} AS BIGINT) AS n_symbols,
-            CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS INT) AS removed_chars
+            CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_chars
             FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN g USING (doc_id)),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o)
         SELECT *, NOT base_failed AND 100 * removed_chars <= 50 * word_chars AS kept FROM b"""
 
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS k FROM w),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+        FROM r LEFT JOIN c USING (doc_id) GROUP BY doc_id""",
     "op8_quality_rules": _quality_sql(),
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_points,
