@@ -190,7 +190,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     merged = groups.withColumn("variant", F.lit(0)).unionByName(apart(batch, F.lit(True)))
     merged = merged.groupBy("digest", "variant").agg(F.sum("size").alias("group_size"), F.max("best").alias("best"))
-    out = apart(rows, ~F.col("old")).join(merged, ["digest", "variant"])
+    # Written first: a join of two scans can be split at a digest with many rows, one on an aggregate can't.
+    out = apart(rows, ~F.col("old")).join(materialise(merged, "groups"), ["digest", "variant"])
     return out.select(
         F.col("_id").alias("doc_id"),
         F.bitwise_not("best.not_id").alias("keep_id"),
