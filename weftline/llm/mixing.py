@@ -26,7 +26,7 @@ from .common import bound_batches, materialise
 #: Slots of a period, or more where there are more sources; the sources that the driver can take.
 PERIOD, MOST_SOURCES = 1000, 10_000
 #: Documents of one (source, cell) on average.
-CELL = 4000
+CELL = 1000
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
