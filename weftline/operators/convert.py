@@ -230,8 +230,10 @@ def convert(files: DataFrame, content: str, path: str, options: str | None = Non
             cols = [b.column(c) for c in own] + [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True) if made else ([], [], []), (pa.binary(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 64:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    for key, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return staged.mapInArrow(run, schema)
 
 
