@@ -22,6 +22,13 @@ def test_article_only():
     assert p.text(p.best()) == WANT
 
 
+def test_a_page_within_one_form_or_class():
+    assert H.Page("<body><form><div class='main'><h1>H</h1><p>Text here.</p></div></form>").text(None) == "H\n\nText here."
+    assert H.Page("<body><div class='widget'><article><p>Text here.</p></article></div><nav>n</nav>").text(None) == "Text here."
+    assert H.Page("<body><div class='cookie-notice'><p>We use cookies.</p></div><nav>n</nav>").text(None) == ""
+    assert H.Page("<body><form>Name</form><nav>n</nav><p>Text.</p>").text(None) == "Text."
+
+
 def test_host_path_wins_over_the_page(spark):
     normal = [(i, "http://Host.example/a", FRAME.format(n=i, article=ARTICLE, pad="")) for i in range(6)]
     odd = FRAME.format(n=9, article="<p>Short, text.</p>", pad="").replace("<footer>", "<div class='legal'><p>" + "Terms, long. " * 60 + "</p></div><footer>")

@@ -33,6 +33,7 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+MAIN = re.compile(r"<(?:article|h1)[\s>]", re.I)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Element names and words of classes, ids and roles.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,8 +56,10 @@ CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "t
 DIGITS, APART = re.compile(r"\d+"), re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
+def _left_out(tag: str, attributes: str, by_words: bool = True, forms: bool = True) -> tuple[bool, str]:
     """(whether the element is left out, its classes as part of a path)."""
+    if tag == "form" and not forms:
+        tag = "div"
     if not attributes.strip(" /\n\t\r"):
         return tag in LEFT_OUT, ""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
@@ -68,6 +71,8 @@ def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
         return False, path
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return True, path
+    if not by_words:
+        return False, path
     words = {w.lower() for k in ("class", "id", "role") for w in APART.split(found.get(k, "")) if w}
     words |= {w for k in ("class", "id", "role") for w in re.split(r"[^a-z0-9]+", found.get(k, "").lower())}
     return bool(words & LEFT_OUT_WORDS), path
@@ -79,10 +84,19 @@ class Page:
     blocks: (text, characters in links, containers that hold it, outermost first,
     list number or 0); containers: (path, depth)."""
 
+    #: What is relaxed while nothing is left of a page with an article or a main
+    #: heading: the words of classes, then forms too, as some pages stand in one form
+    #: or under one such class as a whole.
+    RELAXED = ({}, {"by_words": False}, {"by_words": False, "forms": False})
+
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...], int]] = []
-        self.containers: list[str] = []
-        self._parse(source)
+        for self.rules in self.RELAXED:
+            self.blocks: list[tuple[str, int, tuple[int, ...], int]] = []
+            self.containers: list[str] = []
+            self.dropped = False
+            self._parse(source)
+            if self.blocks or not self.dropped or not MAIN.search(source):
+                break
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, str, bool, int]] = []  # tag, path, left out, container or -1
@@ -160,7 +174,8 @@ class Page:
                         break
             if tag in VOID:
                 continue
-            left, classes = _left_out(tag, m[4])
+            left, classes = _left_out(tag, m[4], **self.rules)
+            self.dropped |= left and (tag == "form" or tag not in LEFT_OUT)
             above = stack[-1][1] if stack else ""
             path = f"{above}/{tag}{'.' + classes if classes else ''}" if tag in BLOCKS else above
             container = -1
