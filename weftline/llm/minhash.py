@@ -245,7 +245,8 @@ def near_duplicates(
 
     bucket = reps.select("node", F.explode("bands").alias("key"))
     hubs = bucket.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = materialise(bucket.join(hubs, "key"), "member")
+    # Written first: a join of two scans can be split at a full bucket, one on an aggregate can't.
+    member = materialise(bucket.join(materialise(hubs, "hubs"), "key"), "member")
     star = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     link = materialise(_links(star, reps, docs, threshold_pct, miss), "link")
     comp = materialise(components(link.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
