@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, trees
+from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees
 
 PICTURE = np.random.default_rng(3).integers(0, 256, (12, 16, 4), dtype=np.uint8)
 
@@ -34,7 +34,7 @@ def test_other_picture_forms():
     assert np.array_equal(images.read_pnm(b"P1\n2 1\n1 0")[0, :, 0], [0, 255])
     rle = b"\0\0\x0a" + b"\0" * 9 + b"\2\0\1\0" + bytes([24, 0x20]) + b"\x81\1\2\3"
     assert images.read_tga(rle).tolist() == [[[3, 2, 1, 255]] * 2]
-    assert b'width="16"' in images.to_svg(images.write_png(PICTURE), "png")
+    assert b'width="16"' in images.svg(images.write_png(PICTURE), "png", 16, 12)
     assert images.to_text(PICTURE).count(b"\n") == 6
     with pytest.raises(Unreadable):
         images.read_qoi(b"qoif" + b"\xff" * 10)
@@ -185,3 +185,49 @@ def test_fonts():
     assert fonts.read_sfnt(fonts.from_woff(fonts.to_woff(f))) == fonts.read_sfnt(f)
     with pytest.raises(Unreadable):
         fonts.from_woff(b"wOF2" + b"\0" * 60)
+
+
+def test_tagged_and_palette_pictures():
+    assert np.array_equal(photos.read_tiff(photos.write_tiff(PICTURE)), PICTURE)
+    few = PICTURE // 64 * 64
+    few[..., 3] = 255
+    assert np.array_equal(photos.read_gif(photos.write_gif(few)), few)
+    few[:3, :4, 3] = 0
+    assert np.array_equal(photos.read_gif(photos.write_gif(few))[..., 3], few[..., 3])
+    many = np.stack([*np.mgrid[0:120, 0:90], np.zeros((120, 90)), np.full((120, 90), 255)], axis=2).astype(np.uint8)
+    assert np.abs(photos.read_gif(photos.write_gif(many)).astype(int) - many).mean() < 5
+    for bad in (photos.read_gif, photos.read_tiff, photos.read_jpg):
+        with pytest.raises(Unreadable):
+            bad(b"GIF89a" + b"\0" * 30)
+
+
+@pytest.mark.parametrize(("quality", "error"), [(30, 6), (85, 2), (100, 0.5)])
+def test_jpeg(quality, error):
+    y, x = np.mgrid[0:61, 0:83]
+    p = np.stack([x * 3, y * 4, x + y, np.full_like(x, 255)], axis=2).astype(np.uint8)
+    raw = photos.write_jpg(p, quality)
+    assert pdf.jpeg_size(raw) == (83, 61, 3)
+    back = photos.read_jpg(raw)
+    assert back.shape == p.shape and np.abs(back.astype(int) - p).mean() < error
+
+
+def test_pictures_agree_with_the_jvm(spark, tmp_path):
+    """The JVM's own decoders read what is written here."""
+    y, x = np.mgrid[0:40, 0:50]
+    p = np.stack([x * 5, y * 6, x + y, np.full_like(x, 255)], axis=2).astype(np.uint8)
+    coders = {"png": (images.write_png, images.read_png), "bmp": (images.write_bmp, images.read_bmp), "gif": (photos.write_gif, photos.read_gif), "tiff": (photos.write_tiff, photos.read_tiff), "jpg": (photos.write_jpg, photos.read_jpg)}
+    for k, (w, _) in coders.items():
+        (tmp_path / f"x.{k}").write_bytes(w(p))
+    rows = spark.read.format("image").load(str(tmp_path)).select("image.*").collect()
+    assert len(rows) == 5
+    for r in rows:
+        k = r.origin.rpartition(".")[2]
+        jvm = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[..., [2, 1, 0]].astype(int)
+        own = coders[k][1]((tmp_path / f"x.{k}").read_bytes())[..., :3]
+        assert np.abs(jvm - own).max() <= (3 if k == "jpg" else 0), k
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.binary(max_size=3000))
+def test_lzw(data):
+    assert photos._lzw_unpack(photos._lzw_pack(data, 8), 8, len(data)) == data

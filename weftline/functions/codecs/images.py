@@ -358,14 +358,11 @@ READERS = {"png": read_png, "bmp": read_bmp, "qoi": read_qoi, "pnm": read_pnm, "
 WRITERS = {"png": write_png, "bmp": write_bmp, "qoi": write_qoi, "pnm": write_pnm, "tga": write_tga, "ico": write_ico}
 
 
-def to_svg(raw: bytes, kind: str) -> bytes:
-    """A vector file that holds the picture at its size."""
-    p = READERS[kind](raw)
-    data = raw if kind == "png" else write_png(p)
-    h, w = p.shape[:2]
+def svg(raw: bytes, kind: str, w: int, h: int) -> bytes:
+    """A vector file that holds the picture's bytes at its size."""
     return (
         f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}"><image width="{w}" height="{h}" '
-        f'href="data:image/png;base64,{base64.b64encode(data).decode()}"/></svg>\n'
+        f'href="data:image/{kind};base64,{base64.b64encode(raw).decode()}"/></svg>\n'
     ).encode()
 
 

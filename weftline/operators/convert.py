@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, trees
+from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees
 from weftline.operators.jobs import MAX_INPUT
-from weftline.plans.catalog import GROUPS, edges
+from weftline.plans.catalog import GROUPS, KNOB_RANGES, edges
 
 Convert = Callable[[bytes, Mapping[str, str]], bytes]
 #: Picture kinds without a coder here: their edges exist, and give an error row.
-NOT_CODED = {"jpg", "gif", "tiff", "webp"}
+NOT_CODED = {"webp"}
+READ_PICTURE = {**images.READERS, "jpg": photos.read_jpg, "gif": photos.read_gif, "tiff": photos.read_tiff}
+WRITE_PICTURE = {**images.WRITERS, "jpg": photos.write_jpg, "gif": photos.write_gif, "tiff": photos.write_tiff}
 
 
 def lang_of(options: Mapping[str, str]) -> str:
@@ -62,20 +64,30 @@ def _document(src: str, dst: str) -> Convert:
     return run
 
 
+def _number(options: Mapping[str, str], knob: str) -> int:
+    lo, hi, default = KNOB_RANGES[knob]
+    text = options.get(knob, "").strip()
+    return min(max(int(text), lo), hi) if re.fullmatch(r"-?\d{1,9}", text) else default
+
+
 def _picture(src: str, dst: str) -> Convert:
     def run(raw: bytes, options: Mapping[str, str]) -> bytes:
-        if dst == "pdf" and src == "jpg":
+        if src == "jpg" and dst == "pdf":  # the picture's own bytes, whatever its kind of JPEG
             return pdf.write_pictures([raw])
+        if src == "jpg" and dst == "svg":
+            return images.svg(raw, "jpeg", *pdf.jpeg_size(raw)[:2])
         if src in NOT_CODED or dst in NOT_CODED:
             raise Unreadable(f"no coder for {src if src in NOT_CODED else dst}")
-        p = images.READERS[src](raw)
+        p = READ_PICTURE[src](raw)
         if dst == "pdf":
             return pdf.write_pictures([p])
         if dst == "svg":
-            return images.to_svg(raw, src)
+            return images.svg(raw if src == "png" else images.write_png(p), "png", p.shape[1], p.shape[0])
         if dst == "txt":
             return images.to_text(p)
-        return images.write_ico(p, options.get("icon_sizes", "favicon")) if dst == "ico" else images.WRITERS[dst](p)
+        if dst == "ico":
+            return images.write_ico(p, options.get("icon_sizes", "favicon"))
+        return photos.write_jpg(p, _number(options, "quality")) if dst == "jpg" else WRITE_PICTURE[dst](p)
 
     return run
 

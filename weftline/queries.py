@@ -520,7 +520,32 @@ def picture_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     level = F.transform(F.slice("embedding", F.lit(1), F.lit(48)), lambda x: F.pmod((x * 100).cast("int"), F.lit(256)).cast("string"))
     pnm = F.concat(F.lit("P3\n4 4\n255\n"), F.array_join(level, " "))
-    path = F.array(*map(F.lit, ("pnm", "png", "qoi", "tga", "bmp", "pnm")))
+    path = F.array(*map(F.lit, ("pnm", "png", "qoi", "tiff", "tga", "gif", "bmp", "pnm")))
     p = e.where(F.size("embedding") >= 48).select("vec_id", pnm.cast("binary").alias("raw"), path.alias("path"), F.array_join(level, ",").alias("want"))
     out = V.convert(p, "raw", "path")
     return out.select("vec_id", F.octet_length("result").alias("size"), F.sha2("result", 256).alias("sha256"), "error_code")
+
+
+@query(f"""SELECT key, unnest(string_split(knobs, ' ')) AS knob FROM {sql_values([(e.key, " ".join(e.knobs)) for e in C.edges() if e.knobs], "key, knobs")}""")
+def edge_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.edges_df(spark).select("key", F.explode("knobs").alias("knob"))
+
+
+@query()
+def engine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line of every engine edge at the knobs' defaults."""
+    from weftline.operators import engines
+
+    rows = [(e.key, *((i := engines.build(e)).args and (" ".join(i.args), list(i.outputs), i.seconds))) for e in C.edges() if e.engine]
+    return spark.createDataFrame(rows, "key string, line string, outputs array<string>, seconds int")
+
+
+@query()
+def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures of planned files, in the reader's language."""
+    from weftline.functions import messages
+
+    planned = J.plan_files(_named(spark, sf_dir), P.routes(spark, ()), P.routes(spark), "pdf").where("error_code is not null")
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    text = messages.message(F.col("error_code"), F.col("lang"), {"file": F.col("name"), "target": F.lit("PDF"), "engines": F.col("missing")})
+    return planned.join(lang, "doc_id").select("doc_id", "lang", "error_code", text.alias("message"))
