@@ -137,3 +137,20 @@ def test_stream_converts_once(spark, tmp_path):
     got = {r.output: (r.result and bytes(r.result).decode(), r.error_code) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["a.json"] == ('[\n  {\n    "x": "1",\n    "y": "2"\n  }\n]\n', None)
     assert got["c.json"][1] is None and got["b.json"] == (None, "unknown_format") and len(got) == 3
+
+
+def test_merge(spark):
+    import numpy as np
+
+    from weftline.functions.codecs import archives, images
+    from weftline.operators.merge import merge
+
+    png = images.write_png(np.zeros((2, 3, 4), np.uint8))
+    rows = [(1, "b.png", png), (1, "a.png", png), (2, "x.txt", b"hi"), (2, "x.txt", b"ho"), (3, "bad.png", b"no"), (3, "ok.png", png), (4, "n.png", None), (5, "big.png", png * 50)]
+    d = spark.createDataFrame(rows, "sel long, name string, content binary")
+    got = {r.sel: r for r in merge(d, "sel", "pdf", limit=3000).collect()}
+    assert got[1].output == "a.pdf" and bytes(got[1].result).count(b"/Type /Page ") == 2
+    assert {k: r.error_code for k, r in got.items()} == {1: None, 2: "no_route", 3: "convert_failed", 4: "read_failed", 5: "too_large"}
+    packed = {r.sel: r for r in merge(d.where("sel = 2"), "sel", "zip").collect()}
+    assert [(e.name, e.data) for e in archives.read(bytes(packed[2].result), "zip")] == [("x.txt", b"hi"), ("x-2.txt", b"ho")]
+    assert {r.error_code for r in merge(d.where("sel = 1"), "sel", "gif").collect()} == {"engine_missing"}

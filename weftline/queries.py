@@ -13,6 +13,7 @@ from weftline.functions import text as T
 from weftline.operators import convert as V
 from weftline.operators import detect as D
 from weftline.operators import jobs as J
+from weftline.operators import merge as M
 from weftline.operators import rows as R
 from weftline.operators import subtitles as S
 from weftline.plans import catalog as C
@@ -549,3 +550,13 @@ def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
     text = messages.message(F.col("error_code"), F.col("lang"), {"file": F.col("name"), "target": F.lit("PDF"), "engines": F.col("missing")})
     return planned.join(lang, "doc_id").select("doc_id", "lang", "error_code", text.alias("message"))
+
+
+@query("SELECT conv_id, count(*) AS n, 'turn0000' || '.zip' AS output, CAST(NULL AS VARCHAR) AS error_code FROM conversations GROUP BY conv_id HAVING min(turn) = 0")
+def merged_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's turns as files of one archive."""
+    c = table(spark, sf_dir, "conversations")
+    starts = c.groupBy("conv_id").agg(F.min("turn").alias("first")).where("first = 0").select("conv_id")
+    name = F.concat(F.lit("turn"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(".txt"))
+    f = c.join(starts, "conv_id", "left_semi").select("conv_id", name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return M.merge(f, "conv_id", "zip").select("conv_id", "n", "output", "error_code")
