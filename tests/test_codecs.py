@@ -231,3 +231,29 @@ def test_pictures_agree_with_the_jvm(spark, tmp_path):
 @given(st.binary(max_size=3000))
 def test_lzw(data):
     assert photos._lzw_unpack(photos._lzw_pack(data, 8), 8, len(data)) == data
+
+
+def test_png_kinds():
+    """Filters, depths, palettes and interlacing, each written by hand."""
+    import struct
+    import zlib
+
+    def png(w, h, depth, colour, body, interlaced=0, *more):
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + b"\0\0\0\0"
+        head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlaced))
+        return b"\x89PNG\r\n\x1a\n" + head + b"".join(chunk(*m) for m in more) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+    grey = lambda raw: images.read_png(raw)[..., 0].tolist()
+    assert grey(png(3, 1, 8, 0, b"\1\5\1\1")) == [[5, 6, 7]]
+    assert grey(png(2, 2, 8, 0, b"\0\5\6\2\1\1")) == [[5, 6], [6, 7]]
+    assert grey(png(2, 2, 8, 0, b"\0\4\6\3\1\1")) == [[4, 6], [3, 5]]
+    assert grey(png(2, 2, 8, 0, b"\0\4\6\4\1\1")) == [[4, 6], [5, 7]]
+    assert grey(png(4, 1, 2, 0, b"\0\x1b")) == [[0, 85, 170, 255]]
+    assert grey(png(1, 1, 16, 0, b"\0\x80\x01")) == [[128]]
+    p = images.read_png(png(2, 1, 1, 3, b"\0\x40", 0, (b"PLTE", bytes([1, 2, 3, 4, 5, 6])), (b"tRNS", b"\x07")))
+    assert p.tolist() == [[[1, 2, 3, 7], [4, 5, 6, 255]]]
+    want = np.arange(81, dtype=np.uint8).reshape(9, 9)
+    body = b"".join(b"\0" + bytes(line) for x, y, dx, dy in images.PASSES for line in want[y::dy, x::dx].tolist())
+    assert grey(png(9, 9, 8, 0, body, 1)) == want.tolist()
+    with pytest.raises(Unreadable):
+        images.read_png(png(9, 9, 8, 0, b"\0"))

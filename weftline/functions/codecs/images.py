@@ -40,36 +40,15 @@ def write_png(p: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 9)) + chunk(b"IEND", b"")
 
 
-def read_png(raw: bytes) -> np.ndarray:
-    if raw[:8] != b"\x89PNG\r\n\x1a\n":
-        raise Unreadable("not a PNG")
-    at, parts, palette, alpha, head = 8, [], None, b"", None
-    while at + 8 <= len(raw):
-        n, kind = struct.unpack(">I4s", raw[at : at + 8])
-        data = raw[at + 8 : at + 8 + n]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            alpha = data
-        elif kind == b"IDAT":
-            parts.append(data)
-        at += n + 12
-    if head is None:
-        raise Unreadable("no header")
-    w, h, depth, colour, _, _, interlaced = head
-    sized(w, h)
-    if interlaced or depth not in (1, 2, 4, 8, 16):
-        raise Unreadable("an interlaced picture")
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    stride, step = (w * channels * depth + 7) // 8, max(1, channels * depth // 8)
-    data = zlib.decompress(b"".join(parts))
-    if len(data) < h * (stride + 1):
+def _unfiltered(data: bytes, at: int, w: int, h: int, bits: int) -> tuple[np.ndarray, int]:
+    """(lines of bytes, place after them) of a picture of ``bits`` a pixel."""
+    stride, step = (w * bits + 7) // 8, max(1, bits // 8)
+    if len(data) < at + h * (stride + 1):
         raise Unreadable("a short picture")
     rows, above = np.zeros((h, stride), np.uint8), np.zeros(stride, np.uint8)
     for y in range(h):
-        kind, line = data[y * (stride + 1)], np.frombuffer(data, np.uint8, stride, y * (stride + 1) + 1).copy()
+        kind, line = data[at], np.frombuffer(data, np.uint8, stride, at + 1).copy()
+        at += stride + 1
         if kind == 2:
             line += above
         elif kind == 1:
@@ -87,17 +66,65 @@ def read_png(raw: bytes) -> np.ndarray:
                     cur[x] = (cur[x] + (left if da <= db and da <= dc else b if db <= dc else c)) & 255
             line = np.array(cur, np.uint8)
         rows[y] = above = line
+    return rows, at
+
+
+def _samples(rows: np.ndarray, w: int, depth: int, channels: int, grey: bool) -> np.ndarray:
+    """Lines of bytes as samples of eight bits (palette places as they are)."""
+    h = len(rows)
     if depth == 16:
         rows = rows[:, ::2]
     elif depth < 8:
         bits = np.unpackbits(rows, axis=1)[:, : w * channels * depth].reshape(h, -1, depth)
         rows = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2).astype(np.uint8)
-        if colour == 0:
+        if grey:
             rows = (rows.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    p = rows.reshape(h, w, channels)
+    return rows.reshape(h, w, channels)
+
+
+# The seven passes of an interlaced PNG as first column and line, and steps.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def read_png(raw: bytes) -> np.ndarray:
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise Unreadable("not a PNG")
+    at, parts, palette, alpha, head = 8, [], None, b"", None
+    while at + 8 <= len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        data = raw[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", data)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            alpha = data
+        elif kind == b"IDAT":
+            parts.append(data)
+        at += n + 12
+    if head is None:
+        raise Unreadable("no header")
+    w, h, depth, colour, _, _, interlaced = head
+    sized(w, h)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if not channels or depth not in (1, 2, 4, 8, 16):
+        raise Unreadable("an unknown PNG kind")
+    try:
+        most = (w * channels * depth + 15) // 8 * h * 2 + 8 * h
+        data = zlib.decompressobj().decompress(b"".join(parts), most)
+    except zlib.error as e:
+        raise Unreadable(str(e)) from None
+    p, at = np.zeros((h, w, channels), np.uint8), 0
+    for x, y, dx, dy in PASSES if interlaced else ((0, 0, 1, 1),):
+        pw, ph = len(range(x, w, dx)), len(range(y, h, dy))
+        if pw and ph:
+            rows, at = _unfiltered(data, at, pw, ph, channels * depth)
+            p[y::dy, x::dx] = _samples(rows, pw, depth, channels, colour == 0)
     if colour == 3:
         table = np.zeros((256, 4), np.uint8)
         table[:, 3] = 255
+        if palette is None:
+            raise Unreadable("no palette")
         table[: len(palette), :3] = palette
         table[: len(alpha), 3] = np.frombuffer(alpha, np.uint8)
         return table[p[..., 0]]
