@@ -154,3 +154,21 @@ def test_merge(spark):
     packed = {r.sel: r for r in merge(d.where("sel = 2"), "sel", "zip").collect()}
     assert [(e.name, e.data) for e in archives.read(bytes(packed[2].result), "zip")] == [("x.txt", b"hi"), ("x-2.txt", b"ho")]
     assert {r.error_code for r in merge(d.where("sel = 1"), "sel", "gif").collect()} == {"engine_missing"}
+
+
+def test_document_columns(spark):
+    from weftline.operators import documents as DM
+
+    md = b"# One\n\nPara **b**\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n# Two\n\n    code\n"
+    d = spark.createDataFrame([(1, bytearray(md)), (2, bytearray(b"just text")), (3, None)], "k long, raw binary")
+    docs = DM.read_documents(d, "k", "raw", "md")
+    rows = DM.chapters(DM.block_rows(docs, "k"), "k").orderBy("k", "pos").collect()
+    assert [(r.k, r.kind, r.text, r.chapter) for r in rows] == [
+        (1, "heading", "One", 1), (1, "paragraph", "Para b", 1), (1, "table", "a\tb\n1\t2", 1), (1, "heading", "Two", 2), (1, "code", "code", 2), (2, "paragraph", "just text", 0),
+    ]
+    titles = docs.select("k", DM.title_of(F.col("title"), F.col("blocks")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in titles] == ["One", "just text", "Document"]
+    back = {r.k: bytes(r.result).decode() for r in DM.write_documents(docs, "k", "md").collect()}
+    assert back[1] == "# One\n\nPara **b**\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n# Two\n\n```\ncode\n```\n" and back[3] == ""
+    bad = DM.read_documents(spark.createDataFrame([(1, bytearray(b"x"))], "k long, raw binary"), "k", "raw", "docx").head()
+    assert bad.error_code == "convert_failed" and bad.blocks is None

@@ -12,6 +12,7 @@ from weftline.functions import lang as L
 from weftline.functions import text as T
 from weftline.operators import convert as V
 from weftline.operators import detect as D
+from weftline.operators import documents as DM
 from weftline.operators import jobs as J
 from weftline.operators import merge as M
 from weftline.operators import rows as R
@@ -560,3 +561,25 @@ def merged_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("turn"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(".txt"))
     f = c.join(starts, "conv_id", "left_semi").select("conv_id", name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     return M.merge(f, "conv_id", "zip").select("conv_id", "n", "output", "error_code")
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_PIECE = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH a AS (SELECT page_id, unnest(string_split_regex({_ARTICLE}, '</?(?:p|h1|br)>')) AS piece FROM pages)
+    SELECT page_id, count(*) AS blocks, CAST(sum(length({_PIECE})) AS BIGINT) AS chars FROM a WHERE {_PIECE} <> '' GROUP BY page_id""")
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the pages' articles: how many, and their characters."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1).alias("html"))
+    rows = DM.block_rows(DM.read_documents(p, "page_id", "html", "html"), "page_id")
+    return rows.groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM conversations) WHERE trim(text) <> '' GROUP BY conv_id")
+def cues_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subtitle file of every conversation as plain text."""
+    c = _cues(spark, sf_dir).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    line = S.srt_line(F.col("turn") + 1, F.col("start"), F.col("end"), F.regexp_replace("text", r"\s+", " "))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("srt"))
+    return S.convert(files, "srt", "txt", "srt").select("conv_id", F.col("result").alias("text"))
