@@ -2,10 +2,14 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
+
 
 @pytest.fixture(scope="session")
 def spark():
