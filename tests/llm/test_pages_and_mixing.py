@@ -86,5 +86,7 @@ def test_mix_odd_rows(clashing, odd_rows, docs_of):
     got = M.mix(clashing, {"s": 1.0}).collect()
     assert sorted(r["__position"] for r in got) == list(range(len(odd_rows)))
     assert M.mix(docs_of([])).count() == 0
+    with pytest.raises(ValueError):
+        M.mix(clashing, {"s": 0.0})
     ordered = M.in_order(M.mix(docs_of([(i, "t", f"s{i % 3}") for i in range(50)]), block=2), 50, 4)
     assert [r["__position"] for r in ordered.collect()] == list(range(50))

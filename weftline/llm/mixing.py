@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialise
 
 #: Slots of a period, or more where there are more sources; the sources that the driver can take.
-PERIOD, MOST_SOURCES = 1000, 10_000
+PERIOD, MOST_SOURCES = 1000, 1000
 #: Documents of one (source, cell) on average.
 CELL = 1000
 
@@ -121,6 +121,8 @@ def mix(
     A row's rank in its source comes from cells: the source's rows are dealt by
     hash into cells of about CELL rows, whose counts are summed up in order, so a
     source with a third of all rows is ranked by as many tasks as its size asks."""
+    if any(not w > 0 for w in (weights or {}).values()):
+        raise ValueError("weights must be positive")
     spark = docs.sparkSession
     bound_batches(spark)
     hashed = F.xxhash64(F.col(id_col))
