@@ -29,6 +29,18 @@ def test_a_page_within_one_form_or_class():
     assert H.Page("<body><form>Name</form><nav>n</nav><p>Text.</p>").text(None) == "Text."
 
 
+@pytest.mark.parametrize(
+    ("attributes", "out"),
+    [
+        ("class='topnav'", True), ("class='ad2'", True), ("id='disqus_thread'", True), ("class='readerComments'", True), ("class=cookieBar", True), ("role='navigation'", True),
+        ("class='site-footer dark'", True), ("aria-hidden='true'", True), ("style='display: none'", True), ("class='post-body'", False), ("class='commentary'", False),
+        ("class='adventure'", False), ("id='main-content'", False), ("class='shadow header-less'", True), ("data-x='nav'", False), ("class='headline'", False),
+    ],
+)
+def test_left_out_elements(attributes, out):
+    assert H._left_out("div", " " + attributes)[0] == out
+
+
 def test_host_path_wins_over_the_page(spark):
     normal = [(i, "http://Host.example/a", FRAME.format(n=i, article=ARTICLE, pad="")) for i in range(6)]
     odd = FRAME.format(n=9, article="<p>Short, text.</p>", pad="").replace("<footer>", "<div class='legal'><p>" + "Terms, long. " * 60 + "</p></div><footer>")

@@ -48,8 +48,9 @@ LEFT_OUT_WORDS = set(
     "ad ads advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo"
     " cookie cookies copyright disclaimer disqus footer form header login masthead menu modal nav navbar navigation navigations newsletter notice"
     " notices notification overlay pager pagination popup promo promotion promoted related respond search share sharing sidebar sidebars"
-    " signup skip social sponsor sponsored subscribe subscription toolbar tooltip widget widgets alert complementary".split()
+    " gdpr paywall topbar colophon signup skip social sponsor sponsored subscribe subscription toolbar tooltip widget widgets alert complementary".split()
 )
+LEFT_OUT_PART = re.compile(r"(?:advert|sidebar|cookie|breadcrumb|newsletter|sponsor|navbar|navig)[a-z]*|comments?(?!ar)[a-z]*|[a-z]+(?:nav|menu|banner|sidebar|footer|comments)")
 # An opening tag that ends an open one of these, up to the nearest of the others.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -57,14 +58,14 @@ DIGITS, APART = re.compile(r"\d+"), re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])"
 
 
 def _left_out(tag: str, attributes: str, by_words: bool = True, forms: bool = True) -> tuple[bool, str]:
-    """(whether the element is left out, its classes as part of a path)."""
+    """(whether the element is left out, its classes or else id as part of a path)."""
     if tag == "form" and not forms:
         tag = "div"
     if not attributes.strip(" /\n\t\r"):
         return tag in LEFT_OUT, ""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     classes = found.get("class", "")
-    path = ".".join(sorted({DIGITS.sub("#", c.lower()) for c in classes.split()}))
+    path = ".".join(sorted({DIGITS.sub("#", c.lower()) for c in (classes or found.get("id", "")).split()}))
     if tag in LEFT_OUT:
         return True, path
     if tag in TOP:
@@ -75,7 +76,8 @@ def _left_out(tag: str, attributes: str, by_words: bool = True, forms: bool = Tr
         return False, path
     words = {w.lower() for k in ("class", "id", "role") for w in APART.split(found.get(k, "")) if w}
     words |= {w for k in ("class", "id", "role") for w in re.split(r"[^a-z0-9]+", found.get(k, "").lower())}
-    return bool(words & LEFT_OUT_WORDS), path
+    words = {w.rstrip("0123456789") for w in words}
+    return not words.isdisjoint(LEFT_OUT_WORDS) or any(map(LEFT_OUT_PART.fullmatch, words)), path
 
 
 class Page:
