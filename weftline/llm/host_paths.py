@@ -1,8 +1,8 @@
 """Main text of web pages by consensus paths of their hosts.
 
 1. Each page's containers are scored by the text of the blocks they hold, less
-   their link text.  A container's path is its chain of tags and classes, with
-   digits generalised.
+   their link text.  A container's path is its chain of tags and classes (its
+   id where it has no class), with digits generalised.
 2. Per host, the pages' scores, relative to each page's best, are summed by path in
    Spark; the path with most votes wins.
 3. Each page is extracted again from the containers on its host's winning path, or,
