@@ -172,3 +172,15 @@ def test_document_columns(spark):
     assert back[1] == "# One\n\nPara **b**\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n# Two\n\n```\ncode\n```\n" and back[3] == ""
     bad = DM.read_documents(spark.createDataFrame([(1, bytearray(b"x"))], "k long, raw binary"), "k", "raw", "docx").head()
     assert bad.error_code == "convert_failed" and bad.blocks is None
+
+
+def test_analyse(spark):
+    from weftline.operators.analyse import analyse
+
+    d = spark.createDataFrame([(1, "a.png"), (1, "b.jpg"), (2, "a.docx"), (2, "b.xlsx"), (2, "c.docx"), (3, "x.zzz")], "sel int, name string")
+    got = {}
+    for r in analyse(d, "sel", engines=[]).collect():
+        got.setdefault((r.sel, r.state), {})[r.target] = r.needed
+    assert len(got[1, "open"]) == 16 and len(got[1, "blocked"]) == 10 and len(got[2, "open"]) == 10 and len(got[2, "blocked"]) == 19
+    assert set(got[1, "merge"]) == {"pdf", "mp4", "webm", "mkv", "gif", "zip", "tar", "tgz", "tzst", "txz"} and len(got[2, "merge"]) == 5
+    assert got[1, "blocked"]["mp4"] == "ffmpeg" and all(got[2, "blocked"].values()) and 3 not in {k[0] for k in got}

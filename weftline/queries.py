@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import lang as L
 from weftline.functions import text as T
+from weftline.operators import analyse as A
 from weftline.operators import convert as V
 from weftline.operators import detect as D
 from weftline.operators import documents as DM
@@ -583,3 +584,13 @@ def cues_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = S.srt_line(F.col("turn") + 1, F.col("start"), F.col("end"), F.regexp_replace("text", r"\s+", " "))
     files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("srt"))
     return S.convert(files, "srt", "txt", "srt").select("conv_id", F.col("result").alias("text"))
+
+
+@query(f"""WITH {routes_sql("engine IN ('', 'ffmpeg')")}, n AS ({_NAMED}),
+    k AS (SELECT DISTINCT doc_id // 3 AS selection, id AS src FROM n JOIN {FORMATS_SQL.replace('AS v(', 'AS f(')} ON f.ext = coalesce(nullif(regexp_extract(lower(name), '\\.(tar\\.[^.]+)$', 1), ''), lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)))),
+    z AS (SELECT selection, count(*) AS n FROM k GROUP BY selection)
+    SELECT selection, dst AS target FROM k JOIN r USING (src) JOIN z USING (selection) GROUP BY selection, dst, z.n HAVING count(*) = z.n""")
+def open_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run of three files can become with one engine present."""
+    d = _named(spark, sf_dir).withColumn("selection", F.floor(F.col("doc_id") / 3))
+    return A.analyse(d, "selection", engines=["ffmpeg"]).where("state = 'open'").select("selection", "target")
