@@ -184,3 +184,35 @@ def test_analyse(spark):
     assert len(got[1, "open"]) == 16 and len(got[1, "blocked"]) == 10 and len(got[2, "open"]) == 10 and len(got[2, "blocked"]) == 19
     assert set(got[1, "merge"]) == {"pdf", "mp4", "webm", "mkv", "gif", "zip", "tar", "tgz", "tzst", "txz"} and len(got[2, "merge"]) == 5
     assert got[1, "blocked"]["mp4"] == "ffmpeg" and all(got[2, "blocked"].values()) and 3 not in {k[0] for k in got}
+
+
+def test_script_languages(spark):
+    from weftline.functions import lang as L
+
+    rows = [(1, "ja", "日本語テキスト"), (1, "en", "words here"), (1, "de", "wörter"), (1, "zh", "中文"), (1, "ar", "مرحبا"), (2, "fr", "abc"), (2, "", "def"), (3, "es", "123"), (3, None, None)]
+    d = spark.createDataFrame(rows, "k int, lang string, text string")
+    got = {r.k: (r.other, r.east, r.right) for r in L.script_langs(d, "k", "lang", "text").collect()}
+    assert got == {1: ("en", "ja", "ar"), 2: ("", None, None), 3: (None, None, None)}
+    assert {r.k: r.lang for r in L.top_lang(d, "k", "lang", "text").collect()} == {1: "en", 2: ""}
+
+
+@pytest.mark.parametrize(
+    ("tag", "want"),
+    [("EN", "en"), ("pt_br", "pt-BR"), ("zh-hant-tw", "zh-Hant-TW"), ("es-419", "es-419"), ("und", ""), ("mul-x", ""), ("x", ""), ("en-", ""), ("<b>", ""), (" de ", "de"), (None, "")],
+)
+def test_language_tags(spark, tag, want):
+    from weftline.functions import lang as L
+    from weftline.functions.codecs.office import tag as plain
+
+    d = spark.createDataFrame([(tag,)], "t string").select(L.normalize_lang(F.col("t")).alias("n"), L.lang_or_und(F.col("t")).alias("u"), L.first_lang(F.lit("zxx"), F.col("t")).alias("f")).head()
+    assert (d.n, d.u, d.f) == (want, want or "und", want) and plain(tag or "") == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [("<html lang='fr-ca'>", "fr-CA"), ("<HTML xml:lang=de class=x>", "de"), ("<html data-lang='xx'><meta http-equiv=Content-Language content='tr, en'>", "tr"), ("<p lang=es>", ""), ("<html lang=''>", "")],
+)
+def test_page_language(spark, html, want):
+    from weftline.functions import lang as L
+
+    assert spark.createDataFrame([(html,)], "h string").select(L.html_lang(F.col("h"))).head()[0] == want

@@ -70,3 +70,14 @@ def top_lang(runs: DataFrame, key: str, lang: str, text: str) -> DataFrame:
     counted = runs.groupBy(F.col(key), normalize_lang(F.col(lang)).alias("lang")).agg(F.sum(n).alias("letters"))
     w = W.partitionBy(key).orderBy(F.col("letters").desc(), "lang")
     return counted.where("letters > 0").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def script_langs(runs: DataFrame, key: str, lang: str, text: str) -> DataFrame:
+    """(key, other, east, right): per class of scripts the language of most letters,
+    '' where unmarked runs have as many, null where the class has no letter."""
+    n = letters(F.coalesce(F.col(text), F.lit("")))
+    kinds = ("other", "east", "right")
+    counted = runs.select(F.col(key), normalize_lang(F.col(lang)).alias("__lang"), n.alias("__n"))
+    counted = counted.groupBy(key, "__lang").agg(*[F.sum(f"__n.{k}").alias(k) for k in kinds])
+    best = [F.min(F.when(F.col(k) > 0, F.struct((-F.col(k)).alias("n"), "__lang"))).alias(k) for k in kinds]
+    return counted.groupBy(key).agg(*best).select(key, *[F.col(f"{k}.__lang").alias(k) for k in kinds])

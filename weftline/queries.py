@@ -594,3 +594,11 @@ def open_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each run of three files can become with one engine present."""
     d = _named(spark, sf_dir).withColumn("selection", F.floor(F.col("doc_id") / 3))
     return A.analyse(d, "selection", engines=["ffmpeg"]).where("state = 'open'").select("selection", "target")
+
+
+@query("""WITH c AS (SELECT doc_id % 40 AS file, lang, sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS letters FROM documents GROUP BY ALL)
+    SELECT file, arg_min(lang, (-letters, lang)) AS other FROM c WHERE letters > 0 GROUP BY file""")
+def script_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of most letters of each run of documents, of scripts that aren't East Asian or written from the right."""
+    d = table(spark, sf_dir, "documents").withColumn("file", F.col("doc_id") % 40)
+    return L.script_langs(d, "file", "lang", "text").select("file", "other")
