@@ -210,7 +210,8 @@ def _block_links(large: DataFrame, docs: DataFrame, threshold_pct: int) -> DataF
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("right"))
     top = top.select("key", F.col("top.comp").alias("main"), "right", (F.col("right") - F.col("top.n")).alias("left"))
     blocks = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("left", "right")]
-    m = large.join(top.select("key", "main", blocks[0].alias("nl"), blocks[1].alias("nr")), "key")
+    # Written first, like the hubs, so that the join can be split at a full bucket.
+    m = large.join(materialise(top.select("key", "main", blocks[0].alias("nl"), blocks[1].alias("nr")), "blocks"), "key")
     spread = F.abs(F.xxhash64("node"))
     left = m.where("comp <> main").select(
         "key", "node", "comp", F.lit(0).alias("side"), (spread % F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j")
