@@ -255,7 +255,8 @@ def near_duplicates(
     # Second pass: buckets whose members are in several components.
     placed = member.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    left = materialise(placed.where("size > 2").join(mixed.select("key"), "key", "left_semi"), "left")
+    mixed = materialise(mixed.select("key"), "mixed")
+    left = materialise(placed.where("size > 2").join(mixed, "key", "left_semi"), "left")
     small, large = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
     x = small.select("key", "hub", F.col("node").alias("a"), F.col("comp").alias("ca"))
     y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
