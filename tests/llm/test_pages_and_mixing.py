@@ -102,3 +102,24 @@ def test_mix_odd_rows(clashing, odd_rows, docs_of):
         M.mix(clashing, {"s": 0.0})
     ordered = M.in_order(M.mix(docs_of([(i, "t", f"s{i % 3}") for i in range(50)]), block=2), 50, 4)
     assert [r["__position"] for r in ordered.collect()] == list(range(50))
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {f"s{i}": 4.0 if i == 0 else 2.0 if i < 5 else 1.0 for i in range(20)},
+        {"rare": 1.0, "a": 4000.0, "b": 1000.5},
+        {"x": 3.141592653589793, "y": 0.1234567890123, "z": Fraction(1, 3)},
+    ],
+)
+def test_deviation_from_the_given_weights(docs_of, weights):
+    total = sum(Fraction(str(w)) for w in weights.values())
+    n = {s: int(Fraction(str(w)) / total * 4000) + 1 for s, w in weights.items()}
+    got = M.mix(docs_of([(len(s) * 10**6 + i, "t", s) for s in n for i in range(n[s])]), weights, block=1).orderBy("__slot").collect()
+    assert [r["__slot"] for r in got] == list(range(sum(n.values())))
+    first = [r for r in got if r["__phase"] == 0]
+    assert len(first) > 3900
+    assert brute.deviation([r.source for r in first], {s: Fraction(str(w)) for s, w in weights.items()}) < 1
+    for r in first:
+        w = Fraction(str(weights[r.source])) / total
+        assert r["__release"] == int(r["__block"] / w) <= r["__slot"] < r["__due"] == -int(-(r["__block"] + 1) / w // 1)

@@ -3,9 +3,11 @@
 Documents of a source form blocks of B.  With weight w, the source's block k is
 released at slot floor(k / w) and due by slot ceil((k + 1) / w); of the released
 blocks the one due first takes the slot.  So at any slot a source has had its
-share but for less than one block.  For weights a_i / Q the schedule repeats every
-Q slots, so only one period is ever simulated, and block k of source i has the slot
-(k // a_i) * Q + first[i][k mod a_i]: a lookup, whatever the number of blocks.
+share but for less than one block.  Weights are exact fractions a_i / Q, never
+rounded, and the schedule repeats every Q slots: one period is simulated, and block
+k of source i has the slot (k // a_i) * Q + first[i][k mod a_i], a lookup, whatever
+the number of blocks.  Where the sources' blocks end before the period does, the
+simulation ends with them: it never has more slots than there are blocks.
 
 No document is dropped: when a source has no block for a slot due to it, a new
 phase begins with the weights of those that have blocks left.  There are at most
@@ -15,7 +17,9 @@ as many phases as sources.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,16 +27,24 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise
 
-#: Slots of a period, or more where there are more sources; the sources that the driver can take.
-PERIOD, MOST_SOURCES = 1000, 1000
+#: The sources that the driver can take.
+MOST_SOURCES = 1000
 #: Documents of one (source, cell) on average.
 CELL = 1000
 
 
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each weight: largest remainders, 1 at least."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
+def shares(weights: Mapping[str, float | Fraction], period: int | None = None) -> dict[str, int]:
+    """Blocks of each source in a period, in exactly the weights' proportion (a
+    float is the decimal that it prints as); or, only where a period is asked for,
+    whole slots of it: largest remainders, 1 at least."""
+    given = {s: Fraction(str(w)) for s, w in weights.items()}
+    if period is None:
+        size = math.lcm(*(w.denominator for w in given.values()))
+        whole = {s: int(w * size) for s, w in given.items()}
+        part = math.gcd(*whole.values())
+        return {s: a // part for s, a in whole.items()}
+    total = sum(given.values())
+    exact = {s: w / total * period for s, w in given.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
     by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
     k = 0
@@ -46,48 +58,59 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return out
 
 
-def one_period(share: Mapping[str, int]) -> dict[str, list[int]]:
+def one_period(share: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, list[int]]:
     """The slots of each source in one period: earliest deadline first among
-    released blocks; equal deadlines go to the heavier source, then by name."""
+    released blocks; equal deadlines go to the heavier source, then by name.  With
+    ``blocks`` it ends before a slot whose source has no block left for it."""
     period = sum(share.values())
     slots: dict[str, list[int]] = {s: [] for s in share}
-    waiting: list[list[tuple[int, int, str]]] = [[] for _ in range(period + 1)]
-    for s, a in share.items():
-        waiting[0].append((-(-period // a), -a, s))
-    ready: list[tuple[int, int, str]] = []
-    for t in range(period):
-        for x in waiting[t]:
-            heapq.heappush(ready, x)
+    later: list[tuple[int, int, int, str]] = []
+    ready = [(-(-period // a), -a, s) for s, a in share.items()]
+    heapq.heapify(ready)
+    t = 0
+    while t < period:
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
         if not ready:
             raise AssertionError("a slot without a released block")
         due, _, s = heapq.heappop(ready)
         if t >= due:
             raise AssertionError(f"{s}'s block is late")
+        if blocks and len(slots[s]) >= blocks[s]:
+            break
         slots[s].append(t)
         k, a = len(slots[s]), share[s]
         if k < a:
-            waiting[max(k * period // a, t + 1)].append((-(-(k + 1) * period // a), -a, s))
+            heapq.heappush(later, (max(k * period // a, t + 1), -(-(k + 1) * period // a), -a, s))
+        t += 1
     return slots
 
 
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple]:
-    """Rows (phase, source, first_block, last_block, share, period, slots,
+def plan(blocks: Mapping[str, int], weights: Mapping[str, float | Fraction], period: int | None = None) -> list[tuple]:
+    """Rows (phase, source, first_block, last_block, period, slots, releases, dues,
     start): blocks first_block..last_block - 1 of the source are scheduled in the
-    phase, whose first slot is ``start`` of the whole mix."""
+    phase, whose first slot is ``start`` of the whole mix.  The lists are of the
+    source's blocks in one period, or as far as the phase goes."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     start, phase, out = 0, 0, []
     while left:
-        share = shares({s: weights[s] for s in left}, max(period, len(left)))
-        own, size = one_period(share), sum(share.values())
-        slot = lambda s, k: k // share[s] * size + own[s][k % share[s]]  # noqa: E731, B023
-        length = min(slot(s, n) for s, n in left.items())
-        if len(left) == 1:
-            length = next(iter(left.values()))
+        share = shares({s: weights[s] for s in left}, period and max(period, len(left)))
+        own, size = one_period(share, left), sum(share.values())
+        length = sum(map(len, own.values()))
+        if length == size:  # the whole period: it repeats until a source ends
+            slot = lambda s, k: k // share[s] * size + own[s][k % share[s]]  # noqa: E731, B023
+            length = min(slot(s, n) for s, n in left.items())
+            if len(left) == 1:
+                length = next(iter(left.values()))
+        every = min(size, length)
         for s in list(left):
             full, rest = divmod(length, size)
             n = min(left[s], full * share[s] + sum(x < rest for x in own[s]))
-            out.append((phase, s, done[s], done[s] + n, share[s], size, own[s], start))
+            if not n:
+                continue
+            a, k = share[s], range(len(own[s]))
+            out.append((phase, s, done[s], done[s] + n, every, own[s], [x * size // a for x in k], [-(-(x + 1) * size // a) for x in k], start))
             done[s] += n
             left[s] -= n
             if not left[s]:
@@ -103,11 +126,11 @@ def _key(source: Column) -> Column:
 
 def mix(
     docs: DataFrame,
-    weights: Mapping[str | None, float] | None = None,
+    weights: Mapping[str | None, float | Fraction] | None = None,
     block: int = 8,
     id_col: str = "doc_id",
     source_col: str = "source",
-    period: int = PERIOD,
+    period: int | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with __phase, __block, __release, __due,
     __slot and __position, the row's place in the mix (0, 1, 2, ...).
@@ -116,7 +139,10 @@ def mix(
     the same.  Sources without a weight get the smallest one given.  Within a
     source the order is that of a hash of doc_id, then doc_id.  Null sources are a
     source of their own; null doc_ids and repeated rows are scheduled like others;
-    an empty table gives an empty result.
+    an empty table gives an empty result.  ``period`` rounds the weights to whole
+    slots of a period; without it they hold exactly.  What the driver simulates and
+    broadcasts, three numbers a slot, is the exact period or, where that is longer
+    than a phase (weights of many digits), the phase: at most one entry a block.
 
     A row's rank in its source comes from cells: the source's rows are dealt by
     hash into cells of about CELL rows, whose counts are summed up in order, so a
@@ -139,10 +165,10 @@ def mix(
     given = {"null" if s is None else f"={s}": w for s, w in (weights or {}).items()}
     least = min(given.values(), default=1.0)
     rows = plan({s: -(-n // block) for s, n in totals.items()}, {s: given.get(s, least) for s in totals}, period)
-    schema = "__phase int, __s string, __first long, __last long, __share int, __period int, __slots array<int>, __start long"
+    schema = "__phase int, __s string, __first long, __last long, __period long, __slots array<long>, __releases array<long>, __dues array<long>, __start long"
     phases = spark.createDataFrame(rows, schema)
     # The last block of a source may be short: what the blocks before a slot lack of B rows each.
-    short = sorted((_slot_of(r, r[3] - 1), block - n) for s, t in totals.items() if (n := (t - 1) % block + 1) < block for r in [next(x for x in reversed(rows) if x[1] == s and x[3] > x[2])])
+    short = sorted((_slot_of(r, r[3] - 1), block - n) for s, t in totals.items() if (n := (t - 1) % block + 1) < block for r in [next(x for x in reversed(rows) if x[1] == s)])
     lacking = F.from_json(F.lit("[" + ",".join(f'{{"s":{a},"d":{b}}}' for a, b in short) + "]"), "array<struct<s:bigint,d:bigint>>")
 
     order = F.row_number().over(W.partitionBy("__s", "__cell").orderBy("__h", id_col)) - 1
@@ -150,15 +176,15 @@ def mix(
     ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block))
     b, x = ranked.alias("b"), F.broadcast(phases).alias("x")  # at most sources x phases rows, of a period's slots in all per phase
     placed = b.join(x, (F.col("b.__s") == F.col("x.__s")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__last")))
-    k, a, q = F.col("__block") - F.col("__first"), F.col("__share"), F.col("__period")
-    slot = F.floor(k / a) * q + F.get("__slots", (k % a).cast("int")) + F.col("__start")
+    k, a = F.col("__block") - F.col("__first"), F.size("__slots")
+    at = lambda c: F.floor(k / a) * F.col("__period") + F.get(c, (k % a).cast("int")) + F.col("__start")
     placed = placed.select(
         *[F.col(f"b.`{c}`") for c in docs.columns],
         "__phase",
         "__block",
-        (F.col("__start") + F.floor(k * q / a)).alias("__release"),
-        (F.col("__start") + F.ceil((k + 1) * q / a)).alias("__due"),
-        slot.alias("__slot"),
+        at("__releases").alias("__release"),
+        at("__dues").alias("__due"),
+        at("__slots").alias("__slot"),
         (F.col("__rank") % block).alias("__in"),
     )
     lost = F.aggregate(F.filter(lacking, lambda g: g["s"] < F.col("__slot")), F.lit(0).cast("long"), lambda acc, g: acc + g["d"])
@@ -166,9 +192,9 @@ def mix(
 
 
 def _slot_of(row: tuple, block: int) -> int:
-    _, _, first, _, share, period, slots, start = row
+    _, _, first, _, period, slots, _, _, start = row
     k = block - first
-    return k // share * period + slots[k % share] + start
+    return k // len(slots) * period + slots[k % len(slots)] + start
 
 
 def in_order(mixed: DataFrame, total: int, parts: int | None = None) -> DataFrame:
