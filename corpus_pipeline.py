@@ -1,7 +1,7 @@
 """The corpus pipeline: stages that each apply one training-data operator.
 
 Toxic documents go, then exact duplicates, then near duplicates; the rest is put
-in the order of the sources' mix and encoded.
+in the order of the sources' mix and encoded, each row with its position in it.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed rows, as written, with their position in the mix."""
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), splitting_pattern()
-    return bpe.round_trip(docs, path, pattern, with_ids=True)
+    placed = mixing.placed(docs).withColumnRenamed("__position", "position")
+    return bpe.round_trip(placed, path, pattern, with_ids=True, keep=["position"])
 
 
 STAGES: list[tuple[str, Stage]] = [

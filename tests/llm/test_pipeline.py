@@ -37,3 +37,13 @@ def test_each_stage_on_its_own_input(stages):
 
 def test_run(spark, stages):
     assert {r.doc_id: r.ids_sha256 for r in P.run(spark, SF).collect()} == {r.doc_id: r.ids_sha256 for r in stages[-1].collect()}
+
+
+def test_position_in_the_mix(spark, stages):
+    from weftline.llm import mixing
+    from weftline.llm.queries import mix_weights
+
+    want = {r.doc_id: r["__position"] for r in mixing.mix(stages[3], mix_weights()).collect()}
+    assert {r.doc_id: r.position for r in stages[-1].collect()} == want
+    assert {r.doc_id: r.position for r in P.run(spark, SF).collect()} == want
+    assert sorted(want.values()) == list(range(len(want))) and len(stages[4].inputFiles()) > 1

@@ -16,10 +16,11 @@ import re
 import struct
 import sys
 import types
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bound_batches, id_and_text, map_text
 
@@ -196,11 +197,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding, then decoding
     of the ids, digested where they are made so that neither is shuffled; also ids
-    (array<int>) if ``with_ids``.  Cases as for ``encode``."""
+    (array<int>) if ``with_ids``; the columns in ``keep`` pass through.  Cases as for
+    ``encode``."""
 
     def run(texts: list[str]) -> dict[str, list]:
         b = _bpe(path, pattern)
@@ -216,4 +218,5 @@ def round_trip(
 
     bound_batches(docs.sparkSession)
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_text(id_and_text(docs, id_col, text_col), run, schema, ["_id"]).withColumnRenamed("_id", "doc_id")
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), *keep)
+    return map_text(own, run, schema, ["_id", *keep]).withColumnRenamed("_id", "doc_id")

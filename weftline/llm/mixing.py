@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -205,3 +206,21 @@ def in_order(mixed: DataFrame, total: int, parts: int | None = None) -> DataFram
     run = max(1, -(-total // parts))
     dealt = mixed.repartitionById(parts, F.floor(F.col("__position") / run).cast("int"))
     return dealt.sortWithinPartitions("__position")
+
+
+def placed(written: DataFrame) -> DataFrame:
+    """Rows of ``in_order``, written and read back, with __position: the rows of the
+    files before, which Spark numbers by partition, and the row's number in its own.
+    However the files are split or in what order they are read, the place stays."""
+    spark = written.sparkSession
+    file = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    counts = written.select(file.alias("__file")).groupBy("__file").count().collect()
+    number = lambda f: [int(x) for x in re.fullmatch(r"part-(\d+)-.*?(?:-c(\d+))?\..*", f).groups("0")]
+    rows, before = [], 0
+    for f, n in sorted(counts, key=lambda r: number(r[0])):
+        rows.append((f, before))
+        before += n
+    starts = spark.createDataFrame(rows, "__file string, __before long")  # a row a file
+    numbered = written.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    joined = numbered.join(F.broadcast(starts), "__file")
+    return joined.select(*written.columns, (F.col("__before") + F.col("__row")).alias("__position"))
