@@ -78,3 +78,32 @@ def test_scan(docs_of, clashing, odd_rows):
     assert got[1].spans == f"assign:2:16,format:21:{21 + len(key)}"
     assert got[2].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest() == got[3].base_sha256
     assert S.scan(clashing).count() == len(odd_rows) and S.scan(docs_of([])).count() == 0
+
+
+def _format_spans(text, formats):
+    return [text[a:b] for a, b, k in S.spans(text, formats, 1.0)[1] if k == 3]
+
+
+def test_digit_free_credentials(formats):
+    for key in ("sk_live_QwErTyUiOpAsDfGhJkLzXcVb", "glpat-ZxCvBnMqWeRtYuIoPaSd"):
+        assert _format_spans(f"see {key} here", formats) == [key]
+
+
+@pytest.mark.parametrize("name", [n for n in S.FORMATS if n not in ("cloud access id", "hex key")])
+def test_credentials_glued_to_other_text(formats, name):
+    keys = [x for n, x in S.labelled_credentials(20, seed=5) if n == name]
+    found = 0
+    for a, b in zip(keys[::2], keys[1::2], strict=True):
+        t = f"home/users/someone/documents/settings/production/{a} and x={b}.backup"
+        got = _format_spans(t, formats)
+        found += (a in got) + (b in got)
+    assert found >= 0.9 * len(keys)
+
+
+def test_credentials_beside_base_spans_and_each_other(formats):
+    a, b = "ghp_" + "aB3dE5gH7jK9" * 3, "npm_" + "Zy8wV6tS4rQ2" * 3
+    assert _format_spans(f"{a}/AKIA{'Q2' * 8}", formats) == [a]
+    assert _format_spans(f"{a}/{'0a' * 16}/{b}", formats) == [a, b]
+    assert _format_spans(f"{a}.{b}", formats) == [a, b]
+    for t in ("home/users/someone/documents/settings/production", "internationalization", "ThisIsAVeryLongClassName", "-" * 400, "www.example.com/some/path/index.html", "2024-01-15-10-20-30"):
+        assert _format_spans(t, formats) == []

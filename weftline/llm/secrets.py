@@ -2,16 +2,20 @@
 
 Labelled credentials give, per format, a prefix tree whose statistically compatible
 states are merged (ALERGIA: all outgoing and stopping frequencies agree within a
-Hoeffding bound, recursively) into a probabilistic automaton.  Every candidate, a
-run of credential characters, is scored by the log-likelihood under the best format
-against that of a background model of ordinary runs; those above a threshold a
-character become spans of kind ``format``.
+Hoeffding bound, recursively) into a probabilistic automaton.  Every candidate is
+scored by the log-likelihood under the best format against that of a background
+model of ordinary runs; those above a threshold a character become spans of kind
+``format``, the best first where they overlap.  Candidates are the parts of a run of
+credential characters from its start, a separator or the start of a format to its
+end, a separator or a length of the format.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import os
 import random
 import re
 from collections.abc import Iterable, Sequence
@@ -27,7 +31,11 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
-CANDIDATE = r"[A-Za-z0-9+/_.=-]{16,}"
+LEAST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}"
+PART = re.compile(r"[A-Za-z0-9]+")
+#: A part's walk ends where its ratio has fallen so far from its best.
+DROP = 30.0
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _WORD = _UPPER + _LOWER + _DIGIT
@@ -67,15 +75,17 @@ class Automaton:
     def __init__(self, next_: list[dict[str, tuple[int, int]]], stop: list[int]):
         self.next, self.stop = next_, stop
         self.total = [stop[i] + sum(c for _, c in t.values()) for i, t in enumerate(next_)]
+        share = lambda n, t: math.log((n + self.SMOOTH) / (t + self.SMOOTH * (self.SYMBOLS + 1)))
+        self.steps = [{c: (to, share(n, t)) for c, (to, n) in x.items()} for x, t in zip(next_, self.total, strict=True)]
+        self.unseen = [(s, share(0, t)) for s, t in enumerate(self.total)]
 
     def logp(self, text: str) -> float:
         """Log-likelihood of the text as a prefix; an unseen symbol costs its
         smoothed share and leaves the state as it is."""
-        s, out, sm = 0, 0.0, self.SMOOTH
+        s, out = 0, 0.0
         for c in text:
-            to, n = self.next[s].get(c, (s, 0))
-            out += math.log((n + sm) / (self.total[s] + sm * (self.SYMBOLS + 1)))
-            s = to
+            s, x = self.steps[s].get(c, self.unseen[s])
+            out += x
         return out
 
 
@@ -190,12 +200,62 @@ class Formats:
             groups.setdefault(name, []).append(text)
         self.automata = {name: infer(texts) for name, texts in sorted(groups.items())}
         self.plain = background(random.Random(11))
+        self.lengths = {name: set(map(len, texts)) for name, texts in groups.items()}
+        self.far = 2 * max((n for x in self.lengths.values() for n in x), default=0)
+        self.prefix = {name: x for name, texts in groups.items() if len(x := os.path.commonprefix(texts)) > 2}
+        known = sorted(set(self.prefix.values()))
+        self.known = re.compile("(?=" + "|".join(map(re.escape, known)) + ")") if known else None
 
     def score(self, text: str) -> tuple[float, str]:
         """Log-likelihood ratio a character of the best format."""
         plain = self.plain.logp(text)
         return max(((a.logp(text) - plain) / len(text), name) for name, a in self.automata.items())
 
+    def find(self, run: str, threshold: float) -> list[tuple[int, int]]:
+        """The parts of a run whose ratio a character reaches the threshold: first
+        those with their format's start and a length of it, then those of a length that
+        it accepts between separators, then by ratio in all; what overlaps an earlier
+        one is left."""
+        size = len(run)
+        state, so_far = 0, [0.0]
+        for c in run:
+            state, x = self.plain.steps[state].get(c, self.plain.unseen[state])
+            so_far.append(so_far[-1] + x)
+        parts = [m.span() for m in PART.finditer(run)]
+        starts = {0, *(a for a, _ in parts)} | ({m.start() for m in self.known.finditer(run)} if self.known else set())
+        ends = {size, *(b for _, b in parts)}
+        found = []
+        for start in starts:
+            if size - start < LEAST:
+                continue
+            # the background starts anew here, as the format does
+            shift = so_far[start + 1] - self.plain.steps[0].get(run[start], self.plain.unseen[0])[1]
+            for name, a in self.automata.items():
+                s, total, top, best, lengths, seen = 0, 0.0, 0.0, (0, 0.0, 0), self.lengths[name], True
+                begins = name in self.prefix and run.startswith(self.prefix[name], start)
+                for i in range(start, size if start == 0 else min(size, start + self.far)):
+                    step = a.steps[s].get(run[i])
+                    seen = seen and step is not None
+                    s, x = step or a.unseen[s]
+                    total += x
+                    ratio = total - so_far[i + 1] + shift
+                    if ratio > top:
+                        top = ratio
+                    elif start and top - ratio > DROP:
+                        break
+                    n = i + 1 - start
+                    if n >= LEAST and ratio > 0 and ratio >= threshold * n and (i + 1 in ends or n in lengths):
+                        rank = 0 if n not in lengths else 2 if begins else int(seen and i + 1 in ends)
+                        best = max(best, (rank, ratio, i + 1))
+                if best[2]:
+                    found.append((-best[0], -best[1], start, best[2]))
+        out: list[tuple[int, int]] = []
+        for _, _, a, b in sorted(found):
+            k = bisect.bisect(out, (a, b))
+            if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0]):
+                out.insert(k, (a, b))
+        return out
+
 
 def _formats(labelled: tuple[tuple[str, str], ...]) -> Formats:
     return per_worker(("formats", hash(labelled)), lambda: Formats(labelled))
@@ -212,22 +272,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str, formats: Formats, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, base and format spans).  A candidate with two of upper case,
-    lower case and digits, one of them a digit, is scored; one that overlaps a
-    base span adds nothing."""
+    """(base spans, base and format spans).  Runs end at base spans, whose own
+    characters are no candidates; all that is left of a run is scored."""
     base = base_spans(text)
     more, k = [], 0
-    ends = sorted(base)
     for m in re.finditer(CANDIDATE, text):
-        run = m[0]
-        if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
-            continue
-        while k < len(ends) and ends[k][1] <= m.start():
+        while k < len(base) and base[k][1] <= m.start():
             k += 1
-        if any(s < m.end() and e > m.start() for s, e, _ in ends[k:] if s < m.end()):
-            continue
-        if formats.score(run)[0] >= threshold:
-            more.append((m.start(), m.end(), 3))
+        at, free, i = m.start(), [], k
+        while i < len(base) and base[i][0] < m.end():
+            free.append((at, base[i][0]))
+            at, i = max(at, base[i][1]), i + 1
+        for a, b in (*free, (at, m.end())):
+            if b - a >= LEAST:
+                more += [(a + x, a + y, 3) for x, y in formats.find(text[a:b], threshold)]
     return base, sorted(base + more, key=lambda x: (x[0], x[2]))
 
 
