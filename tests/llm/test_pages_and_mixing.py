@@ -123,3 +123,14 @@ def test_deviation_from_the_given_weights(docs_of, weights):
     for r in first:
         w = Fraction(str(weights[r.source])) / total
         assert r["__release"] == int(r["__block"] / w) <= r["__slot"] < r["__due"] == -int(-(r["__block"] + 1) / w // 1)
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_an_article_around_its_lead_and_body(spark, outer):
+    body = "Long text, with commas, of a body. " * 20
+    page = f"<body><div class='wrap'><{outer}><h1>Title</h1><div class='lead'><p>Lead in.</p></div><div class='body'><p>{body}</p></div><p>Closing.</p></{outer}><div class='legal'>Terms.</div></div></body>"
+    d = spark.createDataFrame([(i, "http://h.example/a", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in H.main_text(d).collect()} == {f"Title\n\nLead in.\n\n{body.strip()}\n\nClosing."}
+    links = "<div class='more'>" + "<p><a href='/'>Another story of the day</a></p>" * 2 + "</div>"
+    p = H.Page(page.replace("<p>Closing.</p>", links * 3) if outer == "main" else page)
+    assert ("Another" in p.text(p.best())) is False

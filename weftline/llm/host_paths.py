@@ -6,7 +6,8 @@
 2. Per host, the pages' scores, relative to each page's best, are summed by path in
    Spark; the path with most votes wins.
 3. Each page is extracted again from the containers on its host's winning path, or,
-   where it has none, from its own best container.
+   where it has none, from its own best container; either with the whole article or
+   main element around it.
 
 Navigation, headers, footers, sidebars, notices, adverts, forms, reader comments
 and whatever isn't text are left out at every step.
@@ -234,15 +235,30 @@ class Page:
                 out[self.containers[c]] = max(out[self.containers[c]], s / top)
         return out
 
+    def _widened(self, on: set[int]) -> set[int]:
+        """The containers with the outermost article around each, or else the
+        outermost main, unless what that adds is for the greater part link text."""
+        tag = lambda c: self.containers[c].rpartition("/")[2].partition(".")[0]
+        out, mains = set(on), set()
+        for _, _, held, _ in self.blocks:
+            if not on.isdisjoint(held):
+                around = held[: next(i for i, c in enumerate(held) if c in on) + 1]
+                if articles := [c for c in around if tag(c) == "article"]:
+                    out.add(articles[0])
+                else:
+                    mains.update([c for c in around if tag(c) == "main"][:1])
+        added = [(len(t), link) for t, link, held, _ in self.blocks if not mains.isdisjoint(held) and out.isdisjoint(held)]
+        return out | mains if 2 * sum(x for _, x in added) <= sum(x for x, _ in added) else out
+
     def text(self, path: str | None) -> str:
-        """The blocks within containers on ``path``; on the page's best one where
-        no container has it; all blocks where there is no container."""
+        """The blocks within containers on ``path``, widened; on the page's best one
+        where no container has it; all blocks where there is no container."""
         on = {c for c, p in enumerate(self.containers) if p == path}
-        kept = [t for t, _, held, _ in self.blocks if not on.isdisjoint(held)]
-        if not kept:
+        if all(on.isdisjoint(held) for _, _, held, _ in self.blocks):
             own = self.best()
             on = {c for c, p in enumerate(self.containers) if p == own}
-            kept = [t for t, _, held, _ in self.blocks if not on or not on.isdisjoint(held)]
+        wide = self._widened(on)
+        kept = [t for t, _, held, _ in self.blocks if not on or not wide.isdisjoint(held)]
         return "\n\n".join(kept)
 
 
