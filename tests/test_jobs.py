@@ -216,3 +216,16 @@ def test_page_language(spark, html, want):
     from weftline.functions import lang as L
 
     assert spark.createDataFrame([(html,)], "h string").select(L.html_lang(F.col("h"))).head()[0] == want
+
+
+def test_parts_are_bounded_by_entries_and_unreadable_archives_are_rows(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import convert as V
+
+    n = 60_000
+    d = spark.range(n).select(F.lit("a").alias("sel"), "id", F.concat(F.lit("f"), "id").alias("name"), F.lit("x").alias("content"))
+    parts = V.pack(d, "sel", "name", "content", "zip", "id").select("n_entries").collect()
+    assert len(parts) == 2 and sum(r.n_entries for r in parts) == n
+    bad = spark.createDataFrame([("b", bytearray(b"no archive"), "zip")], "sel string, data binary, fmt string")
+    assert [(r.sel, r.entry, r.error_code) for r in V.unpack(bad, "sel", "data", "fmt").collect()] == [("b", None, "unreadable")]

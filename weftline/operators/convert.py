@@ -256,35 +256,39 @@ def route_path(keys: "F.Column") -> "F.Column":
 
 
 def unpack(files: DataFrame, key: str, content: str, fmt: str) -> DataFrame:
-    """(key, entry, is_dir, size, data): an archive's entries, a row each."""
+    """(key, entry, is_dir, size, data, error_code): an archive's entries, a row
+    each; an archive that can't be read is one row with error_code unreadable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, raw, f in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
                     found = archives.read(raw or b"", f)
+                    made = ((e.name, e.is_dir, len(e.data), e.data, None) for e in found)
                 except Unreadable:
-                    continue
-                for e in found:
+                    made = iter([(None, None, None, None, "unreadable")])
+                for row in made:
+                    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k.as_py()], k.type), pa.array([e.name]), pa.array([e.is_dir]), pa.array([len(e.data)], pa.int64()), pa.array([e.data], pa.binary())],
-                        [key, "entry", "is_dir", "size", "data"],
+                        [pa.array([k.as_py()], k.type), *(pa.array([x], t) for x, t in zip(row, kinds, strict=True))],
+                        [key, "entry", "is_dir", "size", "data", "error_code"],
                     )
 
     kind = files.select(key).schema[0].dataType.simpleString()
-    return files.select(key, content, fmt).mapInArrow(run, f"{key} {kind}, entry string, is_dir boolean, size long, data binary")
+    return files.select(key, content, fmt).mapInArrow(run, f"{key} {kind}, entry string, is_dir boolean, size long, data binary, error_code string")
 
 
-def pack(files: DataFrame, archive: str, name: str, content: str, fmt: str, order: str, part_bytes: int = 32 << 20) -> DataFrame:
+def pack(files: DataFrame, archive: str, name: str, content: str, fmt: str, order: str, part_bytes: int = 32 << 20, part_entries: int = archives.MAX_ENTRIES // 2) -> DataFrame:
     """(archive, part, n_entries, data): files of an archive as archive files of at
-    most about ``part_bytes`` each, so that no archive is one task's memory.
+    most about ``part_bytes`` and ``part_entries`` each, so that no archive is one
+    task's memory or more than a reader takes.
 
     Parts come from running sizes within (archive, hash bucket of its files), whose
-    number follows the archive's total size."""
+    number follows the archive's total size and files."""
     from weftline.operators.jobs import pack_names
 
     named = pack_names(files, archive, name, order).withColumn("__size", F.octet_length(content))
-    total = named.groupBy(archive).agg(F.ceil(F.sum("__size") / part_bytes).alias("__parts"))
+    total = named.groupBy(archive).agg(F.greatest(F.ceil(F.sum("__size") / part_bytes), F.ceil(F.count("*") / part_entries)).alias("__parts"))
     dealt = named.join(total, archive).withColumn("part", F.pmod(F.xxhash64("entry"), F.greatest(F.col("__parts"), F.lit(1))).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:

@@ -502,7 +502,7 @@ def pack_and_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("doc"), F.col("doc_id") % 50, F.lit(".txt")).alias("name"), "text")
     packed = V.pack(d, "source", "name", "text", "tgz", "doc_id")
     entries = V.unpack(packed.withColumn("fmt", F.lit("tgz")), "source", "data", "fmt")
-    return entries.groupBy("source").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+    return entries.groupBy("source").agg(F.count("entry").alias("entries"), F.sum("size").alias("bytes"))
 
 
 @query("""SELECT l_orderkey, count(*) AS rows, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem GROUP BY l_orderkey""")
