@@ -140,7 +140,8 @@ def mix(
     the same.  Sources without a weight get the smallest one given.  Within a
     source the order is that of a hash of doc_id, then doc_id.  Null sources are a
     source of their own; null doc_ids and repeated rows are scheduled like others;
-    an empty table gives an empty result.  ``period`` rounds the weights to whole
+    an empty table gives an empty result.  More than MOST_SOURCES distinct sources
+    are a ValueError, as the driver plans for each.  ``period`` rounds the weights to whole
     slots of a period; without it they hold exactly.  What the driver simulates and
     broadcasts, three numbers a slot, is the exact period or, where that is longer
     than a phase (weights of many digits), the phase: at most one entry a block.
