@@ -26,10 +26,10 @@ def rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_components_equal_brute_force(docs_of, rows, small, monkeypatch):
-    monkeypatch.setattr(M, "SMALL", small)  # with 2, all larger buckets go the way of blocks
-    monkeypatch.setattr(M, "BLOCK", 16)
+@pytest.mark.parametrize(("block", "shingles"), [(512, 1 << 20), (16, 1 << 20), (512, 900)])
+def test_components_equal_brute_force(docs_of, rows, block, shingles, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", shingles)
     want = brute.near(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(docs_of(rows)).collect()}
     assert got == want

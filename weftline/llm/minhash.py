@@ -11,10 +11,13 @@ pruning of their signatures, and exact verification on full shingle sets.
    under a uniform prior, is below ``miss``.
 4. Survivors are verified on the full sets, recomputed from the whole texts, and
    the links give components.
-5. Buckets whose members are then still in several components are taken again:
-   small ones with the pairs across components, large ones in blocks that
-   intersect full sets and return links only, so no link is lost to the star
-   and no pair within a large bucket becomes a row.
+5. Buckets whose members, without the smallest, are then still in several
+   components are taken again, in blocks bounded by rows and by shingles: members
+   outside a bucket's main component meet all its members.  A block prunes its pairs
+   by signature as above, each pair in the first bucket that its documents share;
+   only members of a pair that is left bring their full sets to the block, where
+   the pairs are verified.  So no link is lost to the star, no pair becomes a row,
+   and a set moves only where it is needed.
 """
 
 from __future__ import annotations
@@ -33,10 +36,8 @@ from .components import components
 
 WIDTH, BANDS, ROWS, BATCH = 5, 32, 4, 32
 K = BANDS * ROWS
-#: Buckets of at most so many members are paired in full on the second pass.
-SMALL = 16
-#: Rows a side of a block in which larger buckets are compared.
-BLOCK = 1024
+#: Rows and shingles a side, on average, of a block in which buckets are compared.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _STEP = _rng.integers(0, 2**64, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -82,6 +83,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(texts: list[str]) -> dict[str, list]:
+    """Set size and, for texts with words, the key of the set, the signature's bytes
+    and the bands' keys."""
     out: dict[str, list] = {"n": [], "set_key": [], "sig": [], "bands": []}
     for t in texts:
         s = shingle_set(t)
@@ -167,62 +170,118 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold_pct: in
     return full.mapInArrow(_verify(threshold_pct), "a long, b long").distinct()
 
 
-def _block(threshold_pct: int):
-    """Links between a block's left rows and its right rows, by full sets: per
-    left row one for each component of the right, which is all that components need."""
+def _likely(t: pa.Table, threshold_pct: int, bounds: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(left row, right rows) of a block's pairs that the signatures leave.
+
+    A pair is of two components and of sizes that allow the threshold; two members
+    outside the main component are a pair once, with the smaller left; and a pair
+    that shares the bucket of an earlier band belongs to that one."""
+    side, node, comp, main = (t.column(c).to_numpy() for c in ("side", "node", "comp", "main"))
+    n = t.column("n").to_numpy().astype(np.int64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    band = int(t.column("band")[0].as_py())
+    outside = comp[right] != main[right]
+    for i in left:
+        fits = (100 * np.minimum(n[right], n[i]) >= threshold_pct * np.maximum(n[right], n[i])) & (comp[right] != comp[i])
+        at = right[fits & (~outside | (node[right] > node[i]))]
+        equal, done = np.zeros(len(at), np.int32), 0
+        for upto, least in bounds:  # bits other than the low eight are dropped, so equal counts are never too low
+            equal += (sig[at, done:upto] == sig[i, done:upto]).sum(axis=1)
+            stay = equal >= least
+            at, equal, done = at[stay], equal[stay], upto
+        if band and len(at):
+            at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
+        if len(at):
+            yield int(i), at
+
+
+def _wanted(threshold_pct: int, miss: float):
+    """The members of a block that are in a pair which the signatures leave."""
+    bounds = least_matches(threshold_pct / 100, miss)
 
     def run(t: pa.Table) -> pa.Table:
-        side, node, comp = (t.column(c).to_numpy() for c in ("side", "node", "comp"))
+        need = np.zeros(t.num_rows, bool)
+        for i, at in _likely(t, threshold_pct, bounds):
+            need[i] = True
+            need[at] = True
+        return t.filter(pa.array(need))
+
+    return run
+
+
+def _block(threshold_pct: int, miss: float):
+    """Links of a block, verified on full sets: per left member one for each component
+    on the right, which is all that components need."""
+    bounds = least_matches(threshold_pct / 100, miss)
+
+    def run(t: pa.Table) -> pa.Table:
+        node, comp = (t.column(c).to_numpy() for c in ("node", "comp"))
         sets = t.column("s").combine_chunks()
-        sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        _, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        ends = np.cumsum(sizes)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        ends = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        values, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        of = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        mark = np.zeros(len(values), np.uint32)
         a, b = [], []
-        if len(left) and len(right):
-            there = np.repeat(side == 1, sizes)
-            flat, n = ids[there], sizes[right]
-            starts, mark = np.cumsum(n) - n, np.zeros(ids.max() + 1, np.uint32)
-            for i in left:
-                own = ids[ends[i] - sizes[i] : ends[i]]
-                mark[own] = 1
-                both = np.add.reduceat(mark[flat], starts).astype(np.int64)
-                mark[own] = 0
-                ok = (100 * both >= threshold_pct * (len(own) + n - both)) & (comp[right] != comp[i])
-                for j in right[ok][np.unique(comp[right[ok]], return_index=True)[1]]:
+        for i, at in _likely(t, threshold_pct, bounds):
+            mark[of[i]] = 1
+            met: set[int] = set()
+            for j in at:
+                if comp[j] in met:
+                    continue
+                both = int(mark[of[j]].sum())
+                if 100 * both >= threshold_pct * (len(of[i]) + len(of[j]) - both):
+                    met.add(comp[j])
                     a.append(min(node[i], node[j]))
                     b.append(max(node[i], node[j]))
+            mark[of[i]] = 0
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _block_links(large: DataFrame, docs: DataFrame, threshold_pct: int) -> DataFrame:
-    """Links across components in large buckets, (key, node, comp), without a row per pair.
+def _block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
+    """Links across components in buckets, (key, band, node, comp), without a row per pair.
 
     Members outside a bucket's largest component (left) meet all its members
-    (right) in blocks of about BLOCK rows a side, each a group of its own."""
+    (right) in blocks of about BLOCK rows and BLOCK_SHINGLES shingles a side, each a
+    group of its own.  Only representatives with a mixed bucket bring their
+    signature, only those of a pair that it leaves their set."""
 
     def emit(texts: list[str]) -> dict[str, list]:
         return {"s": [shingle_set(t).view(np.int64) for t in texts]}
 
-    sizes = large.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("right"))
-    top = top.select("key", F.col("top.comp").alias("main"), "right", (F.col("right") - F.col("top.n")).alias("left"))
-    blocks = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("left", "right")]
-    # Written first, like the hubs, so that the join can be split at a full bucket.
-    m = large.join(materialise(top.select("key", "main", blocks[0].alias("nl"), blocks[1].alias("nr")), "blocks"), "key")
-    spread = F.abs(F.xxhash64("node"))
-    left = m.where("comp <> main").select(
-        "key", "node", "comp", F.lit(0).alias("side"), (spread % F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j")
-    )
-    right = m.select(
-        "key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), (spread % F.col("nr")).cast("int").alias("j")
+    sketch = reps.select("node", "n", "sig", "bands")
+    members = materialise(members.join(sketch, "node"), "members")
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    top = F.max(F.struct("rows", "size", "comp")).alias("top")
+    per = sizes.groupBy("key").agg(top, F.sum("rows").alias("rows"), F.sum("size").alias("size"))
+    count = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    per = per.select(
+        "key",
+        F.col("top.comp").alias("main"),
+        count(F.col("rows") - F.col("top.rows"), F.col("size") - F.col("top.size")).alias("nl"),
+        count(F.col("rows"), F.col("size")).alias("nr"),
     )
-    nodes = large.select(F.col("node").alias("_id")).distinct()
+    # Written first, like the hubs, so that the join can be split at a full bucket.
+    m = members.join(materialise(per, "blocks"), "key")
+    spread = F.abs(F.xxhash64("node", "key"))
+    same = ["key", "band", "node", "comp", "main", "n", "sig", "bands"]
+    own = lambda c: (spread % F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = m.where("comp <> main").select(*same, F.lit(0).alias("side"), own("nl").alias("i"), every("nr").alias("j"))
+    right = m.select(*same, F.lit(1).alias("side"), every("nl").alias("i"), own("nr").alias("j"))
+    rows = left.unionByName(right)
+    wanted = materialise(rows.groupBy("key", "i", "j").applyInArrow(_wanted(threshold_pct, miss), rows.schema), "wanted")
+    nodes = wanted.select(F.col("node").alias("_id")).distinct()
     sets = map_text(docs.join(sized(nodes, "nodes"), "_id", "left_semi"), emit, "s array<bigint>", ["_id"]).withColumnRenamed("_id", "node")
-    rows = left.unionByName(right).join(sets, "node")
-    return rows.groupBy("key", "i", "j").applyInArrow(_block(threshold_pct), "a long, b long").distinct()
+    found = wanted.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_block(threshold_pct, miss), "a long, b long").distinct()
+    more = materialise(found, "more")
+    discard(members, wanted)
+    return more
 
 
 def near_duplicates(
@@ -244,29 +303,22 @@ def near_duplicates(
     reps = usable.groupBy("set_key").agg(F.min(F.struct("_id", "n", "sig", "bands")).alias("x"))
     reps = materialise(reps.select("set_key", F.col("x._id").alias("node"), "x.n", "x.sig", "x.bands"), "reps")
 
-    bucket = reps.select("node", F.explode("bands").alias("key"))
-    hubs = bucket.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    bucket = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    hubs = bucket.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     # Written first: a join of two scans can be split at a full bucket, one on an aggregate can't.
-    member = materialise(bucket.join(materialise(hubs, "hubs"), "key"), "member")
-    star = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    member = materialise(bucket.join(materialise(hubs, "hubs"), "key").where("node <> hub"), "member")
+    star = member.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     link = materialise(_links(star, reps, docs, threshold_pct, miss), "link")
     comp = materialise(components(link.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
 
-    # Second pass: buckets whose members are in several components.
-    placed = member.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    # Second pass: buckets whose members are in several components; the hub has met all.
+    placed = member.join(comp, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = materialise(mixed.select("key"), "mixed")
-    left = materialise(placed.where("size > 2").join(mixed, "key", "left_semi"), "left")
-    small, large = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
-    x = small.select("key", "hub", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    again = x.join(y, "key").where("a < b and ca <> cb and a <> hub").select("a", "b").distinct()
-    more = materialise(
-        _links(again, reps, docs, threshold_pct, miss).unionByName(_block_links(large.select("key", "node", "comp"), docs, threshold_pct)), "more"
-    )
+    more = _block_links(placed.join(mixed, "key", "left_semi"), reps, docs, threshold_pct, miss)
     if not more.isEmpty():
         comp = materialise(components(link.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
-    discard(member, left)
+    discard(member)
 
     where = reps.select("set_key", "node").join(comp, "node", "left")
     where = where.select("set_key", F.coalesce("component", "node").alias("component"))
