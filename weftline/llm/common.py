@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch.  Texts can be very long, so the default of
-#: 10,000 rows would let one batch outgrow a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: 10,000 rows would let one batch outgrow a Python worker; a batch is held several
+#: times (as bytes, strings and results, and by the JVM's buffers).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES."""
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES.  They stay
+    lowered: results are lazy, and Spark reads the limits when a result is planned."""
     for key, most in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
@@ -30,13 +36,17 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
+    """A new path in the folder that the driver and all executors share: that of
+    spark.checkpoint.dir, or else of the context.  Where neither is set, one machine
+    alone gets a temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         base = sc.getCheckpointDir()
         if not base:
-            sc.setCheckpointDir("/tmp/checkpoints")
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -70,6 +80,16 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def per_worker(key: tuple, make: Callable):
+    """An object that a Python worker keeps between its tasks: the last one asked for
+    only, so that a worker which goes on to another operator gives the memory back."""
+    kept = sys.modules.setdefault("_weftline_worker", types.ModuleType("_weftline_worker")).__dict__
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept["value"], kept["key"] = make(), key
+    return kept["value"]
+
+
 def texts_of(batch: pa.RecordBatch, column: str | int = "_t") -> list[str]:
     """The column's strings, nulls as empty ones."""
     return [x or "" for x in batch.column(column).to_pylist()]

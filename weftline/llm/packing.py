@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, Splitter, per_worker
-from .common import bound_batches, id_and_text
+from .bpe import Remembered, Splitter
+from .common import bound_batches, id_and_text, per_worker
 
 MAGIC, HEAD = b"WFT1", "<4sIIIQQ"
 BLOCK = 4096
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 1 << 18
 NO_ID = -(2**63)
+#: Pre-tokens that a worker remembers, some 150 bytes each: more than for bpe, as the
+#: library is slower on those it is asked for again.
+REMEMBERED = 800_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -119,7 +122,7 @@ class JsonTokenizer:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         self.alone = bool(plain) and not spec.get("normalizer") and not spec.get("post_processor")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split, self.known = Splitter(self.PATTERN), Remembered(self._one)
+        self.split, self.known = Splitter(self.PATTERN), Remembered(self._one, REMEMBERED)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -13,8 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import per_worker
-from .common import bound_batches, held_out, id_and_text, labelled_sample, map_text
+from .common import bound_batches, held_out, id_and_text, labelled_sample, map_text, per_worker
 
 ORDERS, TERMS, DIMS, NEIGHBOURS, BLOCK = (1, 2, 3, 4), 1 << 11, 48, 15, 256
 #: Labelled rows that are learnt from at most (those with the smallest hash of

@@ -22,8 +22,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 
-from .bpe import per_worker
-from .common import bound_batches, id_and_text, map_text
+from .common import bound_batches, id_and_text, map_text, per_worker
 
 KINDS = ("assign", "access", "hex", "format")
 

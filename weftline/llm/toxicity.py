@@ -8,12 +8,14 @@ score is then one table lookup per n-gram position.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, id_and_text, labelled_sample
+from .common import bound_batches, held_out, id_and_text, labelled_sample, map_text, texts_of
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Labelled rows that are learnt from at most: those with the smallest hash of
@@ -106,23 +108,46 @@ def score(text: str, model: dict) -> float:
     return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """A function from a text column to a score column, learnt from at most SAMPLE
-    labelled rows of ``docs`` that aren't held out."""
+def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, learn_chars: int):
+    """The broadcast model of at most ``sample`` labelled rows that aren't held out,
+    of texts of at most ``learn_chars`` characters."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = labelled_sample(id_and_text(docs, id_col, text_col), labels, id_col, label_col, SAMPLE, LEARN_CHARS)
-    model = spark.sparkContext.broadcast(fit(rows))
+    rows = labelled_sample(id_and_text(docs, id_col, text_col), labels, id_col, label_col, sample, learn_chars)
+    return spark.sparkContext.broadcast(fit(rows))
+
+
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = 0.7,
+    sample: int = SAMPLE,
+    learn_chars: int = LEARN_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns and
+    no other; scores and odd cases as in ``toxicity``."""
+    model = learnt(docs, labels, id_col, text_col, label_col, sample, learn_chars)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([score(t or "", model.value) for t in texts], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([score(t, model.value) < threshold for t in texts_of(batch, at)], pa.bool_()))
 
-    return scores
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = 0.7,
+    sample: int = SAMPLE,
+    learn_chars: int = LEARN_CHARS,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row per row of ``docs``.
 
@@ -130,7 +155,9 @@ def toxicity(
     a text without features; null labels aren't learnt from; without labels of both
     classes every score is the known class's smoothed share.  Repeated rows get
     equal results, null doc_ids pass and are never held out, further columns are
-    ignored, an empty table gives an empty result."""
-    of = scorer(docs, labels, id_col, text_col, label_col)
-    out = id_and_text(docs, id_col, text_col).select(F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), of("_t").alias("score"))
+    ignored, an empty table gives an empty result.  What ``sample`` and
+    ``learn_chars`` leave out of learning is scored like the rest."""
+    model = learnt(docs, labels, id_col, text_col, label_col, sample, learn_chars)
+    scored = map_text(id_and_text(docs, id_col, text_col), lambda texts: {"score": [score(t, model.value) for t in texts]}, "score double", ["_id"])
+    out = scored.select(F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
