@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.detect import detect
-from weftline.plans.catalog import GROUPS, formats_df, knobs_df
+from weftline.plans.catalog import GROUPS, formats, knobs_df
+from weftline.work import numbered
 
 # Limits of built-in steps, and the failure codes.
 MAX_INPUT, MAX_UNPACKED, MAX_ENTRIES, MAX_OUTPUTS = 64 << 20, 128 << 20, 100_000, 64
@@ -61,14 +60,13 @@ def plan_files(files: DataFrame, routes: DataFrame, every: DataFrame, target: st
 
     Routes of a static catalogue are a broadcast table; a pair is planned once,
     however many files have it."""
-    known = formats_df(files.sparkSession).select("id").collect()
     d = detect(files, name)
     to = [F.broadcast(r.where(F.col("dst") == target).select(F.col("src").alias(f"_{p}"), F.col("keys").alias(f"{p}_keys"), F.col("engines").alias(f"{p}_engines"))) for r, p in ((routes, "own"), (every, "all"))]
     j = d.join(to[0], F.col("format") == F.col("_own"), "left").join(to[1], F.col("format") == F.col("_all"), "left")
     local = F.size("own_engines") == 0
     large = (F.col(size) > MAX_INPUT) & local if size else F.lit(False)
     code = (
-        F.when(F.lit(target not in {r[0] for r in known}), "no_target")
+        F.when(F.lit(target not in {f.id for f in formats()}), "no_target")
         .when(F.col("format").isNull(), "unknown_format")
         .when(F.col("own_keys").isNull() & F.col("all_keys").isNotNull(), "engine_missing")
         .when(F.col("own_keys").isNull(), "no_route")
@@ -108,14 +106,13 @@ def pack_names(files: DataFrame, archive: str, name: str, order: str) -> DataFra
     """Adds entry: the file's own name, with -2, -3, ... before the extension where
     an earlier file of the archive has it.
 
-    Names are numbered within (archive, name), so an archive of any size is
-    spread by its names."""
+    Names are numbered within (archive, name) by ranges, so neither an archive nor a
+    name of any size is one task's rows."""
     base = F.regexp_replace(F.replace(F.coalesce(F.col(name), F.lit("")), F.lit("\\"), F.lit("/")), r"(?s)\A.*/", "")
-    f = files.withColumn("_n", F.when(base.isin("", "."), "file").otherwise(base))
-    k = F.row_number().over(W.partitionBy(archive, "_n").orderBy(order))
+    f = numbered(files.withColumn("_n", F.when(base.isin("", "."), "file").otherwise(base)), [archive, "_n"], [order], "_k")
     ext = F.regexp_extract("_n", r"(\.[^.]*)\z", 1)
     again = F.concat(F.left("_n", F.length("_n") - F.length(ext)), F.lit("-"), F.col("_k").cast("string"), ext)
-    return f.withColumn("_k", k).withColumn("entry", F.when(F.col("_k") == 1, F.col("_n")).otherwise(again)).drop("_n", "_k")
+    return f.withColumn("entry", F.when(F.col("_k") == 1, F.col("_n")).otherwise(again)).drop("_n", "_k")
 
 
 def merge_targets(selections: DataFrame, selection: str, fmt: str) -> DataFrame:
@@ -141,10 +138,3 @@ def summary(results: DataFrame, job: str, file: str, code: str) -> DataFrame:
     head = F.concat(F.col("done").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" converted"))
     message = F.when(F.col("failed") == 0, head).otherwise(F.concat(head, F.lit(": "), F.col("_l"), more))
     return j.select(job, "total", "done", "failed", message.alias("message"))
-
-
-def retry_plan(failed: DataFrame, spark_routes, key: str = "failed_key") -> Mapping[str, DataFrame]:
-    """Alternative routes for the distinct edges that failed: one planning pass an
-    edge, as each edge is left out once."""
-    edges = [r[0] for r in failed.select(key).distinct().limit(2000).collect()]
-    return {e: spark_routes(excluding=[e]) for e in edges}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators.jobs import plan_files
 from weftline.plans.catalog import ENGINES
-from weftline.plans.planner import routes
+from weftline.plans.planner import routes, routes_without
+from weftline.work import materialise
 
 #: Runs routes: takes (..., keys) rows and adds result, error_code and failed_key.
 Run = Callable[[DataFrame], DataFrame]
@@ -20,25 +21,23 @@ def run_with_retry(files: DataFrame, target: str, run: Run, engines: Iterable[st
     the edge that failed.  If that fails too, the first error stays.
 
     The first pass is written before it is split, so no engine runs twice for one
-    file.  One retry plan serves all files that failed at one edge: there are at
-    most as many as the catalogue has edges of engines."""
+    file.  All retries are one plan: routes without the failed edge, keyed by that
+    edge, of which there are at most as many as the catalogue has."""
     spark = files.sparkSession
     own, full = routes(spark, engines), routes(spark)
     planned = plan_files(files, own, full, target, name)
     ready = planned.where("error_code is null").drop("error_code", "missing")
-    first = run(ready).persist()
-    # The distinct failed edges are bounded by the static edge table.
-    failed = [r[0] for r in first.where("error_code = 'engine_failed'").select("failed_key").distinct().collect()]
+    first = materialise(run(ready), "first")
     columns = [*files.columns, "format", "stem", "result", "error_code"]
-    out = first.where("error_code is null or error_code <> 'engine_failed'").select(*columns)
-    for edge in failed:
-        again = first.where((F.col("error_code") == "engine_failed") & (F.col("failed_key") == edge))
-        second = plan_files(again.select(*files.columns, F.col("error_code").alias("first_code")), routes(spark, engines, [edge]), full, target, name)
-        possible = second.where("error_code is null").drop("error_code", "missing")
-        tried = run(possible)
-        code = F.when(F.col("error_code").isNotNull(), F.col("first_code"))
-        out = out.unionByName(tried.select(*files.columns, "format", "stem", "result", code.alias("error_code")))
-        none = second.where("error_code is not null").withColumn("result", F.lit(None).cast("binary"))
-        out = out.unionByName(none.select(*files.columns, "format", "stem", "result", F.col("first_code").alias("error_code")))
-    unplanned = planned.where("error_code is not null").withColumn("result", F.lit(None).cast("binary"))
-    return out.unionByName(unplanned.select(*columns))
+    done = first.where("error_code is null or error_code <> 'engine_failed'").select(*columns)
+    nothing = F.lit(None).cast("binary")
+    unplanned = planned.where("error_code is not null").withColumn("result", nothing).select(*columns)
+    # The distinct failed edges are bounded by the static edge table.
+    failed = [r[0] for r in first.where("error_code = 'engine_failed' and failed_key is not null").select("failed_key").distinct().collect()]
+    other = routes_without(spark, failed, engines).where(F.col("dst") == target).select(F.col("without").alias("_key"), F.col("src").alias("_src"), F.col("keys").alias("_keys"), F.col("engines").alias("_engines"))
+    again = first.where("error_code = 'engine_failed'").select(*files.columns, "format", "stem", F.col("error_code").alias("first_code"), "failed_key")
+    again = again.join(F.broadcast(other), (F.col("failed_key") == F.col("_key")) & (F.col("format") == F.col("_src")), "left")
+    possible = again.where("_keys is not null").withColumnsRenamed({"_keys": "keys", "_engines": "engines"}).drop("_key", "_src", "failed_key")
+    tried = run(possible).withColumn("error_code", F.when(F.col("error_code").isNotNull(), F.col("first_code")))
+    none = again.where("_keys is null").select(*files.columns, "format", "stem", nothing.alias("result"), F.col("first_code").alias("error_code"))
+    return done.unionByName(unplanned).unionByName(tried.select(*columns)).unionByName(none)

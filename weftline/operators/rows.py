@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.text import cell_string, html_escape, is_numeric_cell, markdown_cell, quoted
+from weftline.work import numbered
 
 
 def cells(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -16,17 +17,12 @@ def cells(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def to_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """(row_no, cells): the header is row 0, the others are numbered by ``order``.
-
-    Numbers come from ranges of ``order`` sorted apart, with the ranges' counts
-    before them, so no task sees all rows."""
+    """(row_no, cells): the header is row 0, the others are numbered by ``order``,
+    as ``numbered`` does, without a task that sees all rows."""
     spark = df.sparkSession
-    parts = df.select(cells(df).alias("cells"), *order).repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = parts.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"), "cells")
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_p", "first", before.alias("before"))
-    body = numbered.join(F.broadcast(counts), "_p").select((F.col("before") + F.col("_m") - F.col("first") + 1).alias("row_no"), "cells")
+    keys = [f"_o{i}" for i in range(len(order))]
+    parts = df.select(cells(df).alias("cells"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)])
+    body = numbered(parts, [], keys, "row_no").select("row_no", "cells")
     head = spark.createDataFrame([(0, list(df.columns))], "row_no long, cells array<string>")
     return head.unionByName(body)
 

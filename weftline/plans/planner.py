@@ -28,19 +28,33 @@ def routes(spark: SparkSession, engines: Iterable[str] = ENGINES, excluding: Ite
     edges has no self edge and doesn't come back to its source, so a self target is
     reached by a direct self edge only.  The relation is bounded by the static edge
     table, which every join broadcasts."""
-    e = usable(spark, engines, excluding)
+    return _cheapest_routes(usable(spark, engines, excluding), [])
+
+
+def routes_without(spark: SparkSession, edges: Iterable[str], engines: Iterable[str] = ENGINES) -> DataFrame:
+    """routes() once for each of ``edges``, which is left out, in one plan; that edge
+    is the column ``without``.  Bounded by the square of the static edge table."""
+    out = F.broadcast(spark.createDataFrame([(x,) for x in edges], "without string"))
+    return _cheapest_routes(usable(spark, engines).join(out, F.col("key") != F.col("without")), ["without"])
+
+
+def _cheapest_routes(e: DataFrame, by: list[str]) -> DataFrame:
+    """The routes over the edges ``e``, apart for each value of ``by``."""
     step = F.struct("key", "engine", "knobs", "variant", "lossy", "multi")
-    one = e.select("src", "dst", F.col("weight").alias("cost"), F.array(step).alias("path"), "terminal")
+    one = e.select(*by, "src", "dst", F.col("weight").alias("cost"), F.array(step).alias("path"), "terminal")
     inner = e.where("src <> dst and not initial")
-    further = F.broadcast(inner.select(F.col("src").alias("at"), F.col("dst").alias("to"), "weight", step.alias("step"), F.col("terminal").alias("ends")))
+    further = F.broadcast(inner.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("src").alias("at"), F.col("dst").alias("to"), "weight", step.alias("step"), F.col("terminal").alias("ends")))
 
     def longer(paths: DataFrame) -> DataFrame:
-        j = paths.where("not terminal and src <> dst").join(further, F.col("dst") == F.col("at")).where("to <> src")
-        return j.select("src", F.col("to").alias("dst"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("step")).alias("path"), F.col("ends").alias("terminal"))
+        follows = F.col("dst") == F.col("at")
+        for c in by:
+            follows &= F.col(c) == F.col(f"_{c}")
+        j = paths.where("not terminal and src <> dst").join(further, follows).where("to <> src")
+        return j.select(*by, "src", F.col("to").alias("dst"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("step")).alias("path"), F.col("ends").alias("terminal"))
 
-    def cheapest(paths: DataFrame, *by: str) -> DataFrame:
+    def cheapest(paths: DataFrame, *more: str) -> DataFrame:
         keys = F.transform("path", lambda s: s["key"])
-        w = W.partitionBy("src", "dst", *by).orderBy("cost", F.size("path"), keys)
+        w = W.partitionBy(*by, "src", "dst", *more).orderBy("cost", F.size("path"), keys)
         return paths.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
     # A cheaper path to the same place with the same right to go on is never worse.
@@ -49,6 +63,7 @@ def routes(spark: SparkSession, engines: Iterable[str] = ENGINES, excluding: Ite
     best = cheapest(first.unionByName(second).unionByName(longer(second)))
     field = lambda name: F.transform("path", lambda s: s[name])
     return best.select(
+        *by,
         "src",
         "dst",
         "cost",

@@ -40,15 +40,14 @@ def write_files(files: DataFrame, path: str, name: str = "output", content: str
 
     Rows are written to a hidden file and renamed, so a task that runs twice leaves
     one whole file.  Names must be relative; ``path`` is a folder that executors
-    share as a file system.  For other stores keep the rows in a table."""
-    import os
+    share, or a URI of a store that Arrow's file systems open (file, hdfs, s3, gs)."""
     import uuid
 
     import pyarrow as pa
-
-    root = path.removeprefix("file://")
+    from pyarrow import fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         for b in batches:
             codes, sizes = [], []
             names = b.column(0).to_pylist()
@@ -57,12 +56,12 @@ def write_files(files: DataFrame, path: str, name: str = "output", content: str
                 try:
                     if not n or raw is None or n.startswith("/") or ".." in n.split("/"):
                         raise OSError("no name or content")
-                    to = os.path.join(root, n)
-                    os.makedirs(os.path.dirname(to), exist_ok=True)
-                    hidden = os.path.join(os.path.dirname(to), f".{uuid.uuid4().hex}")
-                    with open(hidden, "wb") as f:
+                    folder, _, last = f"{root.rstrip('/')}/{n}".rpartition("/")
+                    store.create_dir(folder, recursive=True)
+                    hidden = f"{folder}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(hidden) as f:
                         f.write(raw)
-                    os.replace(hidden, to)
+                    store.move(hidden, f"{folder}/{last}")
                 except OSError:
                     code = "write_failed"
                 codes.append(code)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -12,12 +12,22 @@ from weftline.plans.planner import routes
 from weftline.sources.files import read_stream
 
 
-def convert_batch(files: DataFrame, target: str) -> DataFrame:
+def planned_routes(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """The routes to one target, by built-in steps and by all engines, planned once:
+    a row a format, held by the driver."""
+    held = []
+    for r in (routes(spark, ()), routes(spark)):
+        r = r.where(F.col("dst") == target)
+        held.append(spark.createDataFrame(r.collect(), r.schema))
+    return held[0], held[1]
+
+
+def convert_batch(files: DataFrame, target: str, plan: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(path, modified, output, result, error_code, detail) of (path,
     modificationTime, length, content) rows, by built-in steps only."""
-    spark = files.sparkSession
+    own, full = plan or planned_routes(files.sparkSession, target)
     named = files.withColumn("name", F.regexp_extract("path", r"([^/]*)\z", 1))
-    planned = plan_files(named, routes(spark, ()), routes(spark), target, size="length")
+    planned = plan_files(named, own, full, target, size="length")
     ready = planned.where("error_code is null").drop("error_code").withColumn("route", route_path(F.col("keys")))
     made = convert(ready, "content", "route", name="name")
     out = F.concat(F.col("stem"), F.lit(f".{target}"))
@@ -33,7 +43,9 @@ def convert_stream(spark, source: str, sink: str, checkpoint: str, target: str)
     after a failure leaves its rows once; the stream's checkpoint keeps which files
     it has seen."""
 
+    plan = planned_routes(spark, target)
+
     def write(batch: DataFrame, number: int) -> None:
-        convert_batch(batch, target).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        convert_batch(batch, target, plan).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return read_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
