@@ -34,7 +34,9 @@ def test_a_page_within_one_form_or_class():
     [
         ("class='topnav'", True), ("class='ad2'", True), ("id='disqus_thread'", True), ("class='readerComments'", True), ("class=cookieBar", True), ("role='navigation'", True),
         ("class='site-footer dark'", True), ("aria-hidden='true'", True), ("style='display: none'", True), ("class='post-body'", False), ("class='commentary'", False),
-        ("class='adventure'", False), ("id='main-content'", False), ("class='shadow header-less'", True), ("data-x='nav'", False), ("class='headline'", False),
+        ("class='adventure'", False), ("id='main-content'", False), ("class='shadow header-less'", False), ("data-x='nav'", False), ("class='headline'", False),
+        ("id='related-work'", False), ("class='alert-study'", False), ("class='search-results-method'", False), ("class='related-posts'", True), ("id='post-comments'", True),
+        ("class='cookie-notice-wrapper'", True), ("class='newsletter-signup'", True), ("class='advertisement'", True), ("class='sidebar-left'", True),
     ],
 )
 def test_left_out_elements(attributes, out):
@@ -134,3 +136,62 @@ def test_an_article_around_its_lead_and_body(spark, outer):
     links = "<div class='more'>" + "<p><a href='/'>Another story of the day</a></p>" * 2 + "</div>"
     p = H.Page(page.replace("<p>Closing.</p>", links * 3) if outer == "main" else page)
     assert ("Another" in p.text(p.best())) is False
+
+
+def _page(body):
+    return f"<html><body><nav><a href='/'>Home</a></nav>{body}<footer>&copy;</footer></body></html>"
+
+
+def test_the_whole_article_is_kept():
+    links = "<ul><li><a href='a'>Ref one</a><li><a href='b'>Ref two</a><li><a href='c'>Ref three</a></ul>"
+    parts = "<section id='related-work'><p>Earlier work.</p></section><div class='alert-study'><p>A study.</p></div><div class='search-results-method'><p>How.</p></div>"
+    page = _page(f"<article><header><h1>Title</h1></header><p>Lead, in.</p>{parts}<h2>Sources</h2>{links}<div class='comments'><p>First!</p></div></article>")
+    want = "Title\n\nLead, in.\n\nEarlier work.\n\nA study.\n\nHow.\n\nSources\n\nRef one\n\nRef two\n\nRef three"
+    p = H.Page(page)
+    assert p.text(p.best()) == p.text(p.best(), []) == want
+
+
+def test_lists_of_links_by_consensus(spark):
+    menu = "<ul><li><a>Home page</a><li><a>All news</a><li><a>About us</a></ul>"
+    own = lambda i: f"<ul><li><a>Source {i}a</a><li><a>Source {i}b</a><li><a>Source {i}c</a></ul>"
+    page = lambda i: _page(f"<div class='content'><h1>Title {i}</h1><p>Some text, of page {i}.</p>{own(i)}{menu}</div>")
+    d = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(5)] + [(9, "http://few.example/", page(9))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.main_text(d).collect()}
+    assert all(got[i] == f"Title {i}\n\nSome text, of page {i}.\n\nSource {i}a\n\nSource {i}b\n\nSource {i}c" for i in range(5))
+    assert got[9] == "Title 9\n\nSome text, of page 9."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 50_000 + "text" + "</div>" * 50_000, "<a " * 330_000, '<a "' * 250_000, "<a '><a \">" * 100_000, "<script " * 120_000, "<b>" * 100_000 + "<hr>" * 50_000,
+     "<div>" * 20_000 + "</span>" * 100_000, "<!--" * 200_000, "<ul><li>" * 50_000, "<table><tr><td>" * 20_000, "<p>" * 200_000],
+    ids=lambda x: x[:8],
+)
+def test_long_deep_and_broken_pages_are_linear(page):
+    import time
+
+    t = time.process_time()
+    p = H.Page(page)
+    p.votes()
+    p.text(p.best())
+    assert time.process_time() - t < 20  # a square of such sizes would be hours
+
+
+def brute_text(page):
+    """The article element of the given pages, which know no frame but nav, ad and
+    footer: cut at its tags of blocks."""
+    import html as entities
+    import re
+
+    inner = "".join(re.findall(r"(?s)<article>(.*?)</article>", page))
+    pieces = re.split(r"</?(?:p|h1|h2|ul|ol|li|div)\b[^>]*>", inner.replace("<br>", " "))
+    plain = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in pieces)
+    return "\n\n".join(x for x in plain if x)
+
+
+def test_given_pages_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: brute_text(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    assert len(got) > 100 or len(got) == len(want)
+    assert got == want

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.work import materialise, work_path
+
+__all__ = ["bound_batches", "discard", "held_out", "id_and_text", "labelled_sample", "map_text", "materialise", "per_worker", "sized", "table", "texts_of", "work_path"]
+
 #: Rows and bytes of one Arrow batch.  Texts can be very long, so the default of
 #: 10,000 rows would let one batch outgrow a Python worker; a batch is held several
 #: times (as bytes, strings and results, and by the JVM's buffers).
@@ -35,31 +36,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share: that of
-    spark.checkpoint.dir, or else of the context.  Where neither is set, one machine
-    alone gets a temporary folder; on a cluster it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        base = sc.getCheckpointDir()
-        if not base:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends
-    there, and what an executor loses later is read again, not computed again."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of ids (8 bytes each) that are broadcast at most.
 FEW = 1_000_000
 
