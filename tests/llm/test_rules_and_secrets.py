@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import brute
@@ -50,10 +51,121 @@ def formats():
     return S.Formats(S.labelled_credentials())
 
 
-def test_automata_merge_states(formats):
+def test_automata_merge_states_and_keep_lengths_and_alphabets(formats):
     for name, a in formats.automata.items():
-        longest = max(len(x) for n, x in S.labelled_credentials() if n == name)
-        assert len(a.next) <= longest // 2 + 3, name
+        shape = S.FORMATS[name]
+        size = sum(len(p) + n for p, _, n in shape)
+        assert len(a.next) == size + 1 and a.lengths == [size], name
+        want = [{c} if fixed else set(abc) for p, abc, n in shape for c, fixed in [*((c, True) for c in p), *[("", False)] * n]]
+        assert [set(x) for x in a.alphabets()] == want, name
+        one = next(x for n, x in S.labelled_credentials() if n == name)
+        assert a.logp(one) > a.logp(one[:-1]) == a.logp(one + one[-1]) == float("-inf")
+
+
+def test_probabilities_sum_to_one():
+    import itertools
+    import math
+
+    a = S.infer(["ab", "ac", "ab", "b", "bca", "c"] * 5)
+    total = sum(math.exp(a.logp("".join(x))) for n in range(5) for x in itertools.product("abc", repeat=n))
+    assert total == pytest.approx(1.0)
+    assert a.lengths == [1, 2, 3]
+
+
+def brute_find(text, formats, threshold):
+    """Every part of every accepted length, scored; boundaries and order as documented."""
+    found = []
+    for name, a in formats.automata.items():
+        fixed, last = len(a.alphabets()[0]) == 1, set(a.alphabets()[-1])
+        for n in a.lengths:
+            for i in range(len(text) - n + 1):
+                part, after = text[i : i + n], text[i + n : i + n + 1]
+                if a.logp(part) == float("-inf") or re.match("[A-Za-z0-9]" if fixed else "[" + re.escape("".join(last)) + "]", after):
+                    continue
+                if not fixed and i and (re.match("[A-Za-z0-9]", text[i - 1]) or formats._within_noise(name, text, i, n)):
+                    continue
+                if (ratio := a.logp(part) - formats.plain.logp(part)) >= threshold * n:
+                    found.append((-ratio, i, i + n))
+    out = []
+    for _, a, b in sorted(found):
+        if all(b <= x or y <= a for x, y in out):
+            out.append((a, b))
+    return sorted(out)
+
+
+def brute_base(text):
+    """The base patterns by hand: a scan of characters, without regular expressions."""
+    out = []
+    word, upper, hexa = set(S._WORD + "+/_.=-"), set(S._UPPER + S._DIGIT), set("0123456789abcdef")
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    i = 0
+    while i < len(text):
+        end = None
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(key, i):
+                for quote in (1, 0):
+                    j = i + len(key)
+                    if quote and text[j : j + 1] not in ("'", '"'):
+                        continue
+                    j += quote
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] not in (":", "="):
+                        continue
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                    k = j
+                    while k < len(text) and text[k] in word:
+                        k += 1
+                    if k > j:
+                        end = (j, k)
+                        break
+                break
+        if end:
+            if end[1] - end[0] >= 8:
+                out.append((i, end[1], 0))
+            i = end[1]
+        else:
+            i += 1
+    for kind, start, chars, least in ((1, "AKIA", upper, 16), (2, "", hexa, 32)):
+        i = 0
+        while i < len(text):
+            j = i + len(start)
+            if text.startswith(start, i) and j < len(text) and text[j] in chars:
+                while j < len(text) and text[j] in chars:
+                    j += 1
+                if j - i >= least:
+                    out.append((i, j, kind))
+                i = j
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_base_and_formats_equal_brute_force(formats):
+    rng = random.Random(6)
+    keys = [x for _, x in S.labelled_credentials(3, seed=21)]
+    pieces = [*keys, *(k[:-2] for k in keys[:6]), "password", "Token", "API_KEY", "apikey", "secret", "=", ":", '"', " ", " ", "AKIA", "abc123", "f" * 31, "0a" * 17, "é", "\n", "/", "word", "X1", "_"]
+    for _ in range(150):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        base, every = S.spans(t, formats, 1.0)
+        assert base == brute_base(t), t
+        want = [(a, b, 3) for a, b in brute_find(t, formats, 1.0) if (a, b) not in {(x, y) for x, y, _ in base}]
+        assert [x for x in every if x[2] == 3] == want, t
+
+
+def test_false_alarms(formats):
+    rng = random.Random(8)
+    base64 = lambda n: "".join(rng.choice(S._WORD + "+/") for _ in range(n))
+    for t in ("550e8400-e29b-41d4-a716-446655440000", "iPhone12ProMaxSilver256GB", "InternationalizationConfigurationManager", "ghp_aB3dE5gH7jK912345", "getUserAccountSettingsFromDatabaseByName"):
+        assert formats.find(t, 1.0) == [], t
+    assert sum(bool(formats.find(base64(rng.randint(41, 4000)), 1.0)) for _ in range(300)) <= 3
+    syllables = ["ber", "lan", "ti", "mo", "ra", "so", "ne", "quil", "dor", "eth"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
+    names = [rng.choice(["", "/", "_", "."]).join(word().capitalize() if rng.random() < 0.5 else word() for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
+    assert sum(len(formats.find(x, 1.0)) for x in names) == 0  # below 50 a million names
 
 
 def test_held_out_credentials_score_high(formats):
