@@ -58,6 +58,6 @@ def test_sample_is_bounded_and_skips_held_out(spark, docs_of):
     import zlib
 
     got = labelled_sample(docs, labels, "doc_id", "y", 50, 5)
-    assert 0 < len(got) <= 50 and all(len(t) <= 5 for t, _ in got)
+    assert 0 < len(got) <= 50 and all(len(t) <= 5 for _, t, _ in got) and got == sorted(got)
     every = labelled_sample(docs, labels, "doc_id", "y", 10_000, 10)
     assert len(every) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))

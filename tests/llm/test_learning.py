@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from weftline.llm import quality_knn as K
@@ -72,15 +73,66 @@ def test_odd_rows(spark, clashing, odd_rows, docs_of, operator):
     assert operator(docs_of([]), some).count() == 0
 
 
+def plain_score(v, vector):
+    """The vote, by sorting all voters: similarity first, then doc_id."""
+    cos = [sum(float(a) * float(b) for a, b in zip(x, vector, strict=True)) for x in v.vectors]
+    near = sorted(range(len(cos)), key=lambda i: (-round(cos[i] * K.EXACT), i))[: K.NEIGHBOURS]
+    weights = [max(cos[i], 0.0) ** 8 + 1e-6 for i in near]
+    return sum(w * v.labels[i] for w, i in zip(weights, near, strict=True)) / sum(weights)
+
+
 def test_exact_neighbours():
     rng = random.Random(1)
-    rows = [(" ".join(words(rng, 30)) + rng.choice([".", "!!", "| |", "%%"]), i % 2) for i in range(300)]
+    rows = [(i, " ".join(words(rng, 30)) + rng.choice([".", "!!", "| |", "%%"]), i % 2) for i in range(300)]
     v = K.Voters(rows)
-    import numpy as np
-
-    texts = [t for t, _ in rows[:20]]
+    texts = [t for _, t, _ in rows[:20]] + ["", "other words. entirely", " ".join(words(rng, 500))]
     for t, s in zip(texts, v.scores(texts), strict=True):
-        cos = v.vectors @ v.vector(*K.terms(t))
-        near = np.argsort(-cos, kind="stable")[: K.NEIGHBOURS]
-        w = np.clip(cos[near], 0, None) ** 8 + 1e-6
-        assert s == pytest.approx(float((w * v.labels[near]).sum() / w.sum()), abs=0.35)
+        assert s == pytest.approx(plain_score(v, v.vector(*K.terms(t))), abs=1e-6)
+    alone = [v.scores([t])[0] for t in texts]
+    assert v.scores(texts) == pytest.approx(alone, abs=1e-9)
+
+
+def test_ties_go_by_doc_id():
+    same = [(i, "the very same words stand here.", int(i < 20)) for i in range(60)]
+    rng = random.Random(2)
+    for _ in range(3):
+        rng.shuffle(same)
+        assert K.Voters(same).scores([same[0][1]]) == pytest.approx([1.0])
+    turned = [(i, t, 1 - y) for i, t, y in same]
+    assert K.Voters(turned).scores([same[0][1]]) == pytest.approx([0.0])
+
+
+def test_words_are_in_the_vectors():
+    rng = random.Random(9)
+    kinds = (["cold", "moss", "dune", "fern"], ["lamp", "desk", "door", "fork"])
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(20)) + ".", i % 2) for i in range(200)]
+    v = K.Voters(rows)
+    assert K.shape(rows[0][1]).tolist() == K.shape(rows[1][1]).tolist()
+    assert v.scores(["fern dune moss cold cold fern dune moss.", "door desk lamp fork door fork desk lamp."]) == pytest.approx([0.0, 1.0], abs=1e-3)
+
+
+def plain_toxic(text, model):
+    """The score by a loop over n-grams, each present one once."""
+    import math
+
+    t = " " + " ".join(text.lower().split()) + " "
+    seen = {int(T.hashed(np.array([ord(c) for c in t[i : i + n]], np.uint32), n)[0]) for n in T.ORDERS for i in range(len(t) - n + 1)}
+    z = sum(float(model["table"][f]) for f in seen) + model["bias"]
+    return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
+
+def test_toxicity_scores_equal_brute_force(rows):
+    model = T.fit([(t, x) for _, t, _, x in rows[:300]])
+    for _, t, *_ in rows[300:340]:
+        assert T.score(t, model) == pytest.approx(plain_toxic(t, model), abs=1e-6)
+    assert T.score("", model) == pytest.approx(plain_toxic("", model), abs=1e-6)
+
+
+def test_non_toxic_rows_keep_their_columns(spark, docs_of, rows, clashing, odd_rows):
+    docs, labels = tables(spark, docs_of, rows)
+    kept = T.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    want = {r.doc_id for r in T.toxicity(docs, labels).collect() if not r.predicted}
+    assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < len(rows)
+    some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert T.without_toxic(clashing, some).columns == clashing.columns and T.without_toxic(docs_of([]), some).count() == 0

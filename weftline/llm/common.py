@@ -106,8 +106,8 @@ def held_out(id_col: str) -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int, chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled rows for the driver to learn from:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int, chars: int) -> list[tuple[int, str, int]]:
+    """(id, text, label), by id, of at most ``rows`` labelled rows for the driver to learn from:
     those with the smallest hash of the id that aren't held out, without texts of
     more than ``chars`` characters.  The ids are chosen first, so only the chosen
     texts are moved."""
@@ -115,4 +115,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     known = known.where(~held_out("_id") & F.col("_y").isNotNull() & F.col("_id").isNotNull())
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     found = docs.where(F.length("_t") <= chars).join(F.broadcast(known), "_id").groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y"))
-    return sorted((r["_t"], r["_y"]) for r in found.collect())
+    return sorted((r["_id"], r["_t"], r["_y"]) for r in found.collect())

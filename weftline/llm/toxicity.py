@@ -114,7 +114,7 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     spark = docs.sparkSession
     bound_batches(spark)
     rows = labelled_sample(id_and_text(docs, id_col, text_col), labels, id_col, label_col, sample, learn_chars)
-    return spark.sparkContext.broadcast(fit(rows))
+    return spark.sparkContext.broadcast(fit([(t, y) for _, t, y in rows]))
 
 
 def without_toxic(
