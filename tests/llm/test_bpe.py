@@ -100,3 +100,36 @@ def test_written_files(spark, docs_of, clashing, odd_rows, tmp_path, monkeypatch
     assert [r.doc_id for r in odd] == sorted((r[0] for r in odd_rows), key=lambda x: -1 if x is None else x)
     assert [r.n_tokens for r in odd][1:3] == [1, 1]
     assert K.write_and_read(docs_of([]), file, str(tmp_path / "c"), 50_257).count() == 0
+
+
+def test_documents_are_found_by_their_shard(spark, docs_of, tmp_path, monkeypatch):
+    from weftline.llm import packing as P
+    from weftline.llm.queries import tokenizer_file
+
+    monkeypatch.setattr(P, "SHARD_IDS", 200)
+    path, file = f"file://{tmp_path}/shards", tokenizer_file("byte_bpe_50k.json")
+    rows = [(i, f"text number {i} " * (i % 5 + 1)) for i in range(0, 400, 2)] + [(None, "no id"), (7, "twice"), (7, "twice or so")]
+    P.write_and_read(docs_of(rows), file, path).count()
+    shards = spark.read.parquet(path)
+    assert shards.count() > 5 and P.vocabulary_of(file) == 50_257
+    got = P.documents(shards, [4, 7, 398, 5, 10**9]).collect()
+    t = P.JsonTokenizer(file)
+    want = sorted((i, np.frombuffer(t.encode(x), "<u4").tolist() + [2]) for i, x in rows if i in (4, 7, 398))
+    assert sorted((r.doc_id, r.ids) for r in got) == want
+    plan = P.documents(shards, [4])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(last_doc,4)" in plan and P.documents(shards, []).count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", [2, 300, 50_257, 70_000, 1 << 17])
+def test_query_widths_round_trip(docs_of, tmp_path, vocabulary):
+    """The bit path through files, at widths other than whole bytes too."""
+    from weftline.llm import packing as P
+
+    path, ids = f"file://{tmp_path}/v{vocabulary}", np.random.default_rng(vocabulary)
+    encode = lambda t: (np.array([ord(c) * 977 for c in t], np.uint64) % vocabulary).astype("<u4").tobytes()
+    docs = docs_of([(i, "".join(chr(97 + int(x)) for x in ids.integers(0, 26, 50 * i))) for i in range(40)])
+    P.write(docs.selectExpr("doc_id as _id", "text as _t"), path, lambda: encode, vocabulary, None)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in P.documents_of(docs.sparkSession.read.parquet(path)).collect()}
+    import zlib
+
+    assert got == {r.doc_id: (len(r.text), zlib.crc32(encode(r.text))) for r in docs.collect()}

@@ -41,6 +41,12 @@ def test_verdict_and_cleaning(docs_of):
     assert got[1].clean_text == "" and got[1].removed_chars == got[1].word_chars
 
 
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "Tous droits R\xc9SERV\xc9S.", "Pol\xedtica de privacidad.", "Hier klicken, um es zu sehen.", "Cliquez ici pour lire.", "Privacy policy."])
+def test_boilerplate_in_four_languages(docs_of, line):
+    prose = "This is an ordinary sentence which says something and ends well.\n"
+    assert line not in Q.quality(docs_of([(1, prose + line)])).head().clean_text
+
+
 def test_native_plan(docs_of):
     plan = Q.quality(docs_of([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.work import materialise, work_path
 
-__all__ = ["bound_batches", "discard", "held_out", "id_and_text", "labelled_sample", "map_text", "materialise", "per_worker", "sized", "table", "texts_of", "work_path"]
+__all__ = ["bound_batches", "discard", "fresh", "held_out", "id_and_text", "labelled_sample", "map_text", "materialise", "per_worker", "sized", "table", "texts_of", "work_path"]
 
 #: Rows and bytes of one Arrow batch.  Texts can be very long, so the default of
 #: 10,000 rows would let one batch outgrow a Python worker; a batch is held several
@@ -95,6 +95,17 @@ def map_text(df: DataFrame, fn, schema: str, keep: list[str]) -> DataFrame:
     return df.mapInArrow(run, full)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns that ``df`` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under names of its own, so
     that further columns of the input can't clash."""

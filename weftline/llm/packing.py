@@ -10,7 +10,9 @@ Each id takes the fewest bits that hold the vocabulary's largest id, the lowest
 bit first; every ``block`` ids start on a byte of their own, at the payload's
 block_offsets[i].  Any run of ids is so read from the blocks it touches, unpacked
 by numpy at once.  Shards are rows of a Parquet table that Spark writes and
-commits: they go to any store, and a lost executor leaves no half file.
+commits: they go to any store, and a lost executor leaves no half file.  A row also
+names its shard's first and last doc_id, so that Parquet's own statistics find the
+shards of some documents without reading the others.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +151,11 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], byte
         tail = b"" if end is None else struct.pack("<I", end)
 
         def close() -> pa.RecordBatch:
-            row = [[part], [seq], [len(names)], [size], [build(names, held, bits)]]
+            known = [x for x in names if x is not None]
+            row = [[part], [seq], [len(names)], [size], known[:1] or [None], known[-1:] or [None], [build(names, held, bits)]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-                ["part", "seq", "n_docs", "n_ids", "shard"],
+                [pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)],
+                ["part", "seq", "n_docs", "n_ids", "first_doc", "last_doc", "shard"],
             )
 
         for batch in batches:
@@ -167,8 +170,10 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], byte
         if names:
             yield close()
 
-    dealt = docs.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_t"))
-    dealt.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary").write.parquet(path)
+    # The text's hash splits what repeats one doc_id or has none.
+    order = ["_id", F.xxhash64("_t")]
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, first_doc long, last_doc long, shard binary").write.parquet(path)
 
 
 def starts(shards: DataFrame) -> DataFrame:
@@ -212,11 +217,40 @@ def documents_of(shards: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("begin") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def documents(shards: DataFrame, doc_ids: Sequence[int]) -> DataFrame:
+    """(doc_id, ids array<int>) of some documents, given by the driver: only the shards
+    whose first and last doc_id enclose one are read, and only its blocks unpacked."""
+    wanted = sorted(set(doc_ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("shard"):
+                s = Shard(raw.as_py())
+                at = np.flatnonzero(np.isin(s.doc_ids, np.array(wanted, np.int64)))
+                ids = pa.array([s.doc(int(k)).view(np.int32) for k in at], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[at]), ids], ["doc_id", "ids"])
+
+    among = F.array(*[F.lit(i).cast("long") for i in wanted]).cast("array<bigint>")
+    near = shards.where((F.col("last_doc") >= (wanted or [0])[0]) & (F.col("first_doc") <= (wanted or [0])[-1]))  # pushed to the scan
+    near = near.where(F.exists(among, lambda i: (i >= F.col("first_doc")) & (i <= F.col("last_doc"))))
+    return near.select("shard").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def vocabulary_of(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizers file."""
+    import json
+
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+
+
 def write_and_read(
-    docs: DataFrame, tokenizer: str, path: str, vocabulary: int, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, path: str, vocabulary: int | None = None, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Write the documents' ids to ``path`` and return, from the files,
-    (doc_id, start, n_tokens, ids_crc32).
+    (doc_id, start, n_tokens, ids_crc32).  ``vocabulary`` is the tokenizer's own where
+    it isn't given.
 
     Null and empty texts hold the end id alone; repeated rows are written each;
     null doc_ids come first; further columns are ignored; an empty table writes
@@ -226,5 +260,5 @@ def write_and_read(
     def encoder() -> Callable[[str], bytes]:
         return per_worker(("json", tokenizer), lambda: JsonTokenizer(tokenizer)).encode
 
-    write(id_and_text(docs, id_col, text_col), path, encoder, vocabulary, end)
+    write(id_and_text(docs, id_col, text_col), path, encoder, vocabulary or vocabulary_of(tokenizer), end)
     return documents_of(docs.sparkSession.read.parquet(path))

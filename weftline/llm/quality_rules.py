@@ -3,7 +3,8 @@
 Each line is judged by a punctuation, a navigation and a boilerplate rule; failing
 lines are removed, and a document that loses more than ``max_loss`` percent of its
 word characters that way is rejected, as is one that fails the base rules on its
-word count and on words in repeated 5-word windows.  Everything is one projection
+word count and on words in repeated 5-word windows (equal where their 64-bit hashes
+are).  Everything is one projection
 over the row's own text: nothing is shuffled, and a document of any length is one
 row's work, linear but for the sort of its window hashes.
 """
@@ -22,9 +23,13 @@ SYMBOLS = r"[#*$%&|<>]"
 TERMINAL = r"[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}][\x{22}\x{27}\x29\x5D\x{BB}\x{2019}\x{201D}]*[\x20\x09-\x0D]*$"
 MARKS = r"[!#*$%&<>^~=+@\x5C]"
 SEPARATORS = r"[|\x{BB}\x{203A}\x{2022}\x{B7}]"
+# In four languages; other letters than a to z are in both cases, as engines differ in theirs.
 BOILERPLATE = (
     r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies"
-    r"|enable javascript|sign (in|up)|log in|subscribe|newsletter|click here|read more|share (on|this)|lorem ipsum|copyright \d{4})\b"
+    r"|enable javascript|sign (in|up)|log in|subscribe|newsletter|click here|read more|share (on|this)|lorem ipsum|copyright \d{4}"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|impressum|verwendet cookies|hier klicken|jetzt anmelden|mehr lesen|teilen auf"
+    r"|tous droits r[\x{E9}\x{C9}]serv[\x{E9}\x{C9}]s|conditions d'utilisation|mentions l[\x{E9}\x{C9}]gales|utilise des cookies|cliquez ici|se connecter|lire la suite|partager sur"
+    r"|todos los derechos reservados|condiciones de uso|aviso legal|pol[\x{ED}\x{CD}]tica de privacidad|utiliza cookies|haga clic|iniciar sesi[\x{F3}\x{D3}]n|compartir en)\b"
 )
 #: A line without terminal punctuation fails below so many words.
 SHORT_LINE = 8

@@ -34,7 +34,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), work_path(spark, "token-shards")
-    return packing.write_and_read(docs, tokenizer_file("byte_bpe_50k.json"), path, vocabulary=50_257, end=2)
+    return packing.write_and_read(docs, tokenizer_file("byte_bpe_50k.json"), path, end=2)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
