@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import host_paths as H
 from weftline.llm import mixing as M
@@ -100,6 +101,12 @@ def test_mix_odd_rows(clashing, odd_rows, docs_of):
     got = M.mix(clashing, {"s": 1.0}).collect()
     assert sorted(r["__position"] for r in got) == list(range(len(odd_rows)))
     assert M.mix(docs_of([])).count() == 0
+    named = clashing
+    for c in ("__s", "__h", "__cell", "__rank", "__block", "__own", "__source", "__hash", "__position", "s", "c", "before", "first", "start", "phase"):
+        named = named.withColumn(c, F.lit("x"))
+    again = M.mix(named, {"s": 1.0})
+    assert len(set(again.columns)) == len(again.columns) and again.where("__s = 'x' and __hash = 'x' and first = 'x'").count() == len(odd_rows)
+    assert sorted(r["__position"] for r in again.collect()) == list(range(len(odd_rows)))
     with pytest.raises(ValueError):
         M.mix(clashing, {"s": 0.0})
     ordered = M.in_order(M.mix(docs_of([(i, "t", f"s{i % 3}") for i in range(50)]), block=2), 50, 4)

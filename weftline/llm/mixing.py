@@ -11,7 +11,8 @@ simulation ends with them: it never has more slots than there are blocks.
 
 No document is dropped: when a source has no block for a slot due to it, a new
 phase begins with the weights of those that have blocks left.  There are at most
-as many phases as sources.
+as many phases as sources, and the deviation of each phase starts anew: over p phases
+a source is within p blocks of the sum of its shares of them.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, fresh, materialise
 
 #: The sources that the driver can take.
 MOST_SOURCES = 1000
+#: Slots in the phases' rows that are broadcast at most, three numbers each.
+FEW_SLOTS = 1 << 20
 #: Documents of one (source, cell) on average.
 CELL = 1000
+#: The columns that mixing adds.
+PLACES = ("__phase", "__block", "__release", "__due", "__slot", "__position")
 
 
 def shares(weights: Mapping[str, float | Fraction], period: int | None = None) -> dict[str, int]:
@@ -140,7 +145,8 @@ def mix(
     the same.  Sources without a weight get the smallest one given.  Within a
     source the order is that of a hash of doc_id, then doc_id.  Null sources are a
     source of their own; null doc_ids and repeated rows are scheduled like others;
-    an empty table gives an empty result.  More than MOST_SOURCES distinct sources
+    an empty table gives an empty result; columns of the result's own names are
+    replaced.  More than MOST_SOURCES distinct sources
     are a ValueError, as the driver plans for each.  ``period`` rounds the weights to whole
     slots of a period; without it they hold exactly.  What the driver simulates and
     broadcasts, three numbers a slot, is the exact period or, where that is longer
@@ -153,44 +159,48 @@ def mix(
         raise ValueError("weights must be positive")
     spark = docs.sparkSession
     bound_batches(spark)
-    hashed = F.xxhash64(F.col(id_col))
-    n_cells = max(1, -(-docs.select(id_col).count() // CELL))
-    keyed = docs.withColumns({"__s": _key(F.col(source_col).cast("string")), "__h": hashed})
-    keyed = keyed.withColumn("__cell", F.floor((F.col("__h") / 2.0**64 + 0.5) * n_cells).cast("int"))
-
-    cells = materialise(keyed.select("__s", "__cell").groupBy("__s", "__cell").agg(F.count("*").alias("n")), "cells")
-    before = F.sum("n").over(W.partitionBy("__s").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1))
-    cells_before = cells.select("__s", "__cell", F.coalesce(before, F.lit(0)).alias("__before"))
-    totals = {r[0]: r[1] for r in cells.groupBy("__s").agg(F.sum("n")).limit(MOST_SOURCES + 1).collect()}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in PLACES])
+    source, h, cell, own, rank, blk = fresh(docs, "source", "hash", "cell", "own", "rank", "blk")
+    id_, key_ = F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string")
+    n_cells = max(1, -(-docs.select(id_).count() // CELL))
+    keyed = docs.withColumns({source: _key(key_), h: F.xxhash64(id_)})
+    keyed = keyed.withColumn(cell, F.floor((F.col(h) / 2.0**64 + 0.5) * n_cells).cast("int"))
+
+    cells = materialise(keyed.select(F.col(source).alias("s"), F.col(cell).alias("c")).groupBy("s", "c").agg(F.count("*").alias("n")), "cells")
+    before = F.sum("n").over(W.partitionBy("s").orderBy("c").rowsBetween(W.unboundedPreceding, -1))
+    cells_before = cells.select("s", "c", F.coalesce(before, F.lit(0)).alias("before")).alias("y")
+    totals = {r[0]: r[1] for r in cells.groupBy("s").agg(F.sum("n")).limit(MOST_SOURCES + 1).collect()}
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     given = {"null" if s is None else f"={s}": w for s, w in (weights or {}).items()}
     least = min(given.values(), default=1.0)
     rows = plan({s: -(-n // block) for s, n in totals.items()}, {s: given.get(s, least) for s in totals}, period)
-    schema = "__phase int, __s string, __first long, __last long, __period long, __slots array<long>, __releases array<long>, __dues array<long>, __start long"
+    schema = "phase int, s string, first long, last long, period long, slots array<long>, releases array<long>, dues array<long>, start long"
     phases = spark.createDataFrame(rows, schema)
     # The last block of a source may be short: what the blocks before a slot lack of B rows each.
     short = sorted((_slot_of(r, r[3] - 1), block - n) for s, t in totals.items() if (n := (t - 1) % block + 1) < block for r in [next(x for x in reversed(rows) if x[1] == s)])
     lacking = F.from_json(F.lit("[" + ",".join(f'{{"s":{a},"d":{b}}}' for a, b in short) + "]"), "array<struct<s:bigint,d:bigint>>")
 
-    order = F.row_number().over(W.partitionBy("__s", "__cell").orderBy("__h", id_col)) - 1
-    ranked = keyed.withColumn("__own", order).join(cells_before, ["__s", "__cell"]).withColumn("__rank", F.col("__before") + F.col("__own"))
-    ranked = ranked.withColumn("__block", F.floor(F.col("__rank") / block))
-    b, x = ranked.alias("b"), F.broadcast(phases).alias("x")  # at most sources x phases rows, of a period's slots in all per phase
-    placed = b.join(x, (F.col("b.__s") == F.col("x.__s")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__last")))
-    k, a = F.col("__block") - F.col("__first"), F.size("__slots")
-    at = lambda c: F.floor(k / a) * F.col("__period") + F.get(c, (k % a).cast("int")) + F.col("__start")
-    placed = placed.select(
+    order = F.row_number().over(W.partitionBy(source, cell).orderBy(h, id_)) - 1
+    r, y = keyed.withColumn(own, order).alias("r"), cells_before
+    ranked = r.join(y, (F.col(f"r.{source}") == F.col("y.s")) & (F.col(f"r.{cell}") == F.col("y.c")))
+    ranked = ranked.select("r.*", (F.col("y.before") + F.col(f"r.{own}")).alias(rank)).withColumn(blk, F.floor(F.col(rank) / block))
+    few = sum(len(x[5]) for x in rows) <= FEW_SLOTS
+    b, x = ranked.alias("b"), (F.broadcast(phases) if few else phases).alias("x")
+    placed = b.join(x, (F.col(f"b.{source}") == F.col("x.s")) & (F.col(f"b.{blk}") >= F.col("x.first")) & (F.col(f"b.{blk}") < F.col("x.last")))
+    k, a = F.col(f"b.{blk}") - F.col("x.first"), F.size("x.slots")
+    at = lambda c: F.floor(k / a) * F.col("x.period") + F.get(F.col(f"x.{c}"), (k % a).cast("int")) + F.col("x.start")
+    inside, slot = F.col(f"b.{rank}") % block, at("slots")
+    lost = F.aggregate(F.filter(lacking, lambda g: g["s"] < slot), F.lit(0).cast("long"), lambda acc, g: acc + g["d"])
+    return placed.select(
         *[F.col(f"b.`{c}`") for c in docs.columns],
-        "__phase",
-        "__block",
-        at("__releases").alias("__release"),
-        at("__dues").alias("__due"),
-        at("__slots").alias("__slot"),
-        (F.col("__rank") % block).alias("__in"),
+        F.col("x.phase").alias("__phase"),
+        F.col(f"b.{blk}").alias("__block"),
+        at("releases").alias("__release"),
+        at("dues").alias("__due"),
+        slot.alias("__slot"),
+        (slot * block + inside - lost).alias("__position"),
     )
-    lost = F.aggregate(F.filter(lacking, lambda g: g["s"] < F.col("__slot")), F.lit(0).cast("long"), lambda acc, g: acc + g["d"])
-    return placed.withColumn("__position", F.col("__slot") * block + F.col("__in") - lost).drop("__in")
 
 
 def _slot_of(row: tuple, block: int) -> int:
