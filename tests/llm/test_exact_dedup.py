@@ -55,3 +55,38 @@ def test_repeated_ids_are_told_apart(docs_of):
     assert sorted((r.doc_id, r.text) for r in kept) == [(0, "b"), (1, "a"), (2, "c")]
     assert X.exact_duplicates(docs_of([])).count() == 0
 
+
+
+def test_two_snapshots_and_a_batch(spark, docs_of, tmp_path):
+    rng = random.Random(4)
+    texts = ["a b", "ab ", "a  b", "x", "", None, "é", "own", *(f"text {k}" for k in range(30))]
+    parts = [[(100 * p + i, rng.choice(texts)) for i in range(60)] for p in range(3)]
+    for i in range(2):
+        X.write_snapshot(docs_of(parts[i]), f"file://{tmp_path}/s{i}")
+    snapshots = [X.load_snapshot(spark, f"file://{tmp_path}/s{i}") for i in range(2)]
+    got = X.against_snapshots(docs_of(parts[2]), snapshots).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == plain(sum(parts, []))
+    assert {r.doc_id: r.snapshot for r in got} == {i: p if p < 2 else None for p in range(3) for i, _ in parts[p]}
+    alone = X.against_snapshots(docs_of(parts[2]), []).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in alone} == plain(parts[2])
+
+
+def test_equal_digests_of_other_bytes_stay_apart(spark, docs_of, tmp_path, monkeypatch):
+    """A snapshot whose row under a digest has other bytes than the batch's."""
+    from pyspark.sql import functions as F
+
+    s = X.write_snapshot(docs_of([(1, "one"), (2, "two")]), f"file://{tmp_path}/s")
+    forged = s.rows.withColumn("plain", F.when(F.col("_id") == 1, F.lit(b"other")).otherwise(F.col("plain")))
+    got = {(r.doc_id, r.snapshot): (r.keep_id, r.group_size, r.kept) for r in X.against_snapshots(docs_of([(3, "one"), (4, "two ")]), [X.Snapshot(forged, s.groups, s.filters, s.buckets)]).collect()}
+    assert got[1, 0] == (1, 1, True) and got[3, None] == (3, 1, True)
+    assert got[2, 0] == (4, 2, False) and got[4, None] == (4, 2, True)
+
+
+def test_columns_with_own_names(docs_of):
+    from pyspark.sql import functions as F
+
+    d = docs_of([(1, "a"), (1, "b"), (1, "a"), (0, "b"), (2, "c"), (3, "c")])
+    for c in ("__sha", "__n", "__other", "__several", "__id", "__of", "__points", "__drop"):
+        d = d.withColumn(c, F.lit(7))
+    kept = X.keep_first(d, X.exact_duplicates(d))
+    assert kept.columns == d.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "b"), (1, "a"), (2, "c")]

@@ -1,10 +1,12 @@
 """Exact deduplication of a new batch against immutable snapshots.
 
-A snapshot keeps, per distinct normalised text, one group row, dealt into buckets
-by digest, and per bucket a static 3-wise binary fuse filter over its digests.  A
-batch is grouped by digest on its own; its groups are screened bucket by bucket
-against the filters; only positives are joined to the snapshot's exact bucket,
-where the normalised bytes of the two representatives are compared.
+A snapshot is a folder: its rows with their normalised texts, one group row per
+distinct text, dealt into buckets by digest, and per bucket a static 3-wise binary
+fuse filter over its digests.  It is written once and loaded for every later batch.
+A batch is grouped by digest on its own; its groups are screened bucket by bucket
+against each snapshot's filters; only positives are joined to that snapshot's exact
+buckets, where the normalised bytes of the two representatives are compared.  Texts
+move only for that comparison.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_and_text, map_text, materialise, sized
+from .common import bound_batches, fresh, id_and_text, map_text, materialise, sized, work_path
 
 #: Digests a filter holds on average: a bucket's keys are one task's memory.
 KEYS_PER_BUCKET = 1 << 17
@@ -104,117 +108,163 @@ def _keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(_id, n_points, digest) of (_id, _t); a null text counts as empty."""
+    """(_id, n_points, digest, plain, row) of (_id, _t); a null text counts as empty.
+    ``row`` numbers the rows; it holds once they are written."""
 
     def run(texts: list[str]) -> dict[str, list]:
-        return {"n_points": list(map(len, texts)), "digest": [hashlib.sha256(normalise(t)).digest() for t in texts]}
+        plain = [normalise(t) for t in texts]
+        return {"n_points": list(map(len, texts)), "digest": [hashlib.sha256(p).digest() for p in plain], "plain": plain}
 
-    return map_text(docs, run, "n_points long, digest binary", ["_id"])
+    return map_text(docs, run, "n_points long, digest binary, plain binary", ["_id"]).withColumn("row", F.monotonically_increasing_id())
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
     """One row per digest.  ``best`` orders rows by code points, then smallest id
     (its complement is largest), then row number; nulls come last."""
     best = F.struct("n_points", F.bitwise_not("_id").alias("not_id"), F.bitwise_not("row").alias("not_row"))
-    return rows.groupBy("digest").agg(F.count("*").alias("size"), F.max(best).alias("best"))
+    groups = rows.groupBy("digest").agg(F.count("*").alias("size"), F.max(best).alias("best"))
+    return groups.select(F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"), "*")
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """rows (_id, n_points, digest, plain, row), groups (bucket, digest, size, best),
+    filters (bucket, filter), as written."""
 
+    rows: DataFrame
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
 
-def _bucket(n: int):
-    return F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int").alias("bucket")
 
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    rows, groups, filters = (spark.read.parquet(f"{path}/{x}") for x in ("rows", "groups", "filters"))
+    return Snapshot(rows, groups, filters, spark.read.json(f"{path}/about", schema="buckets int").head()[0])
 
-def snapshot(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """The snapshot's groups (bucket, digest, size, best) and filters (bucket,
-    filter), written once and never changed."""
+
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """Write a snapshot of all rows of ``docs`` to the folder ``path``, which must not
+    hold one yet, and load it."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    digests(id_and_text(docs, id_col, text_col)).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    buckets = max(1, math.ceil(rows.count() / KEYS_PER_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def build(t: pa.Table) -> pa.Table:
         raw = fuse_build(np.unique(_keys(t.column("digest"))))
         return pa.table({"bucket": t.column("bucket")[:1], "filter": pa.array([raw], pa.binary())})
 
-    groups = materialise(_grouped(rows).select(_bucket(buckets), "*"), "snapshot")
-    filters = groups.select("bucket", "digest").groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
-    return groups, materialise(filters, "filters")
+    _grouped(rows, buckets).write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    groups.select("bucket", "digest").groupBy("bucket").applyInArrow(build, "bucket int, filter binary").write.parquet(f"{path}/filters")
+    spark.createDataFrame([(buckets,)], "buckets int").write.json(f"{path}/about")
+    return load_snapshot(spark, path)
 
 
 def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
-    """The groups (bucket, digest, ...) whose digest may be in the snapshot."""
+    """The groups (bucket, digest, row) whose digest may be in the snapshot."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return left.slice(0, 0)
         return left.filter(pa.array(fuse_contains(right.column("filter")[0].as_py(), _keys(left.column("digest")))))
 
-    few = groups.select("bucket", "digest", F.bitwise_not("best.not_id").alias("id"))
-    return few.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(run, few.schema)
-
-
-def _differing(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Digests of (digest, id, old_id) whose two normalised texts differ."""
-
-    def own(texts: list[str]) -> dict[str, list]:
-        plain = [normalise(t) for t in texts]
-        return {"digest": [hashlib.sha256(p).digest() for p in plain], "plain": plain}
-
-    ids = pairs.select(F.col("id").alias("_id")).unionByName(pairs.select(F.col("old_id").alias("_id"))).distinct()
-    plain = map_text(docs.join(ids, "_id", "left_semi"), own, "digest binary, plain binary", ["_id"])
-    new, old = (plain.select(F.col("_id").alias(i), "digest", F.col("plain").alias(p)) for i, p in (("id", "new"), ("old_id", "old")))
-    both = pairs.join(new, ["digest", "id"]).join(old, ["digest", "old_id"])
-    return both.where("new <> old").select("digest").distinct()
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snapshot: str = "pmod(xxhash64(_id), 2) = 0") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, n_points), a row per input row.
-
-    ``in_snapshot`` is the condition on ``_id`` of rows that the immutable snapshot
-    holds already; the others are the new batch.  Of equal texts the row with most
-    code points stays, then the smallest doc_id, then one of the rows that repeat
-    it; rows with a null doc_id lose to others and belong to the batch.  Null and
-    empty texts and texts of white space are equal.  Further columns are ignored,
-    and an empty table gives an empty result."""
-    bound_batches(docs.sparkSession)
-    docs = id_and_text(docs, id_col, text_col)
-    rows = digests(docs).select("*", F.monotonically_increasing_id().alias("row"), F.coalesce(F.expr(in_snapshot), F.lit(False)).alias("old"))
-    rows = materialise(rows, "digests")
-    buckets = max(1, math.ceil(rows.count() / KEYS_PER_BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    groups, filters = snapshot(rows.where("old"), buckets)
-    batch = materialise(_grouped(rows.where("not old")).select(_bucket(buckets), "*"), "batch")
-    positives = screen(batch, filters)
-    pairs = positives.join(groups.select("bucket", "digest", F.bitwise_not("best.not_id").alias("old_id")), ["bucket", "digest"])
-    differing = materialise(_differing(pairs.drop("bucket"), docs), "differing")
-
-    def apart(df: DataFrame, new) -> DataFrame:
+    return groups.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(run, groups.schema)
+
+
+def _differing(batch_rows: DataFrame, groups: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Digests of batch groups (bucket, digest, row) that stand in the snapshot with
+    other normalised bytes."""
+    positives = screen(groups, snapshot.filters)
+    old = snapshot.groups.select("bucket", "digest", F.bitwise_not("best.not_row").alias("old_row"))
+    pairs = materialise(positives.join(old, ["bucket", "digest"]).select("digest", "row", "old_row"), "pairs")
+    few = lambda c: sized(pairs.select(F.col(c).alias("row")), c)
+    new = batch_rows.select("row", F.col("plain").alias("new")).join(few("row"), "row", "left_semi")
+    known = snapshot.rows.select(F.col("row"), F.col("plain").alias("old")).join(few("old_row"), "row", "left_semi")
+    both = pairs.join(new, "row").join(known.withColumnRenamed("row", "old_row"), "old_row")
+    return both.where("new <> old").select("digest")
+
+
+def against_snapshots(batch: DataFrame, snapshots: Sequence[Snapshot], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_points, snapshot), a row per
+    row of ``batch`` and of the snapshots; ``snapshot`` is the place of the row's one in
+    ``snapshots``, null for the batch.
+
+    Of equal texts the row with most code points stays, then the smallest doc_id, then
+    that of the earliest snapshot, the batch last, then one of the rows that repeat it.
+    The snapshots aren't changed: write the rows that stay as a new one."""
+    spark = batch.sparkSession
+    bound_batches(spark)
+    rows = materialise(digests(id_and_text(batch, id_col, text_col)), "digests")
+    own = materialise(_grouped(rows, max([1, *(s.buckets for s in snapshots)])), "batch")
+    found = None
+    for s in snapshots:
+        few = own.select(F.pmod(F.xxhash64("digest"), F.lit(s.buckets)).cast("int").alias("bucket"), "digest", F.bitwise_not("best.not_row").alias("row"))
+        one = _differing(rows, few, s)
+        found = one if found is None else found.unionByName(one)
+    differing = materialise(found.distinct(), "differing") if found is not None else None
+
+    def variant(df: DataFrame, new: bool) -> DataFrame:
         """``variant`` keeps apart batch texts that share a digest but not bytes."""
+        if not new or differing is None:
+            return df.withColumn("variant", F.lit(0))
         there = differing.select("digest", F.lit(1).alias("there"))
-        return df.join(there, "digest", "left").withColumn("variant", F.when(new, F.coalesce("there", F.lit(0))).otherwise(0)).drop("there")
+        return df.join(there, "digest", "left").withColumn("variant", F.coalesce("there", F.lit(0))).drop("there")
+
+    def of(place: int, df: DataFrame) -> DataFrame:
+        return variant(df, place == len(snapshots)).withColumn("place", F.lit(place))
 
-    merged = groups.withColumn("variant", F.lit(0)).unionByName(apart(batch, F.lit(True)))
+    merged, every = None, None
+    for i, (g, r) in enumerate([*((s.groups, s.rows) for s in snapshots), (own, rows)]):
+        best = F.struct("best.n_points", "best.not_id", F.bitwise_not("place").alias("not_place"), "best.not_row").alias("best")
+        g = of(i, g).select("digest", "variant", "size", best)
+        r = of(i, r.select("_id", "n_points", "digest", "row"))
+        merged, every = (g, r) if merged is None else (merged.unionByName(g), every.unionByName(r))
     merged = merged.groupBy("digest", "variant").agg(F.sum("size").alias("group_size"), F.max("best").alias("best"))
     # Written first: a join of two scans can be split at a digest with many rows, one on an aggregate can't.
-    out = apart(rows, ~F.col("old")).join(materialise(merged, "groups"), ["digest", "variant"])
+    out = every.join(materialise(merged, "groups"), ["digest", "variant"])
     return out.select(
         F.col("_id").alias("doc_id"),
         F.bitwise_not("best.not_id").alias("keep_id"),
         "group_size",
-        (F.col("row") == F.bitwise_not("best.not_row")).alias("kept"),
+        ((F.col("row") == F.bitwise_not("best.not_row")) & (F.col("place") == F.bitwise_not("best.not_place"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "n_points",
+        F.when(F.col("place") < len(snapshots), F.col("place")).alias("snapshot"),
     )
 
 
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snapshot: str | Column = "pmod(xxhash64(_id), 2) = 0") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_points), a row per input row.
+
+    ``in_snapshot`` is the condition on ``_id`` of rows that form a snapshot, written
+    to the shared folder; the others are a batch that comes later.  Of equal texts the
+    row with most code points stays, then the smallest doc_id, then one of the rows
+    that repeat it; rows with a null doc_id lose to others and belong to the batch.
+    Null and empty texts and texts of white space are equal.  Further columns are
+    ignored, and an empty table gives an empty result."""
+    bound_batches(docs.sparkSession)
+    docs = id_and_text(docs, id_col, text_col)
+    old = F.coalesce(F.expr(in_snapshot) if isinstance(in_snapshot, str) else in_snapshot, F.lit(False))
+    snapshot = write_snapshot(docs.where(old), work_path(docs.sparkSession, "snapshot"), "_id", "_t")
+    return against_snapshots(docs.where(~old), [snapshot], "_id", "_t").drop("snapshot")
+
+
 def keep_first(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, each once, with all their columns.
 
     A doc_id that stands in one row is decided by it alone; the rows of a repeated
     doc_id are told apart by digest and code points."""
+    other_c, several_c, sha, n, key, of, points = fresh(docs, "other", "several", "sha", "n", "id", "of", "points")
     ids = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any"))
-    other = sized(ids.where("n > 1 or not any").select(F.col("doc_id").alias("__other")), "other")
-    single = docs.join(other, F.col(id_col).eqNullSafe(F.col("__other")), "left_anti")
-    several = sized(ids.where("n > 1 and any").select(F.col("doc_id").alias("__several")), "several")
-    again = docs.join(several, F.col(id_col).eqNullSafe(F.col("__several")), "left_semi")
+    other = sized(ids.where("n > 1 or not any").select(F.col("doc_id").alias(other_c)), "other")
+    single = docs.join(other, F.col(id_col).eqNullSafe(F.col(other_c)), "left_anti")
+    several = sized(ids.where("n > 1 and any").select(F.col("doc_id").alias(several_c)), "several")
+    again = docs.join(several, F.col(id_col).eqNullSafe(F.col(several_c)), "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    again = again.withColumn("__sha", F.sha2(F.regexp_replace(text, "[ \\t-\\r]+", "").cast("binary"), 256)).withColumn("__n", F.length(text))
-    stays = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"), F.col("n_points").alias("__points"))
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")) & (F.col("__n") == F.col("__points"))
-    again = again.join(stays, match, "left_semi").dropDuplicates([id_col, "__sha", "__n"]).drop("__sha", "__n")
+    again = again.withColumn(sha, F.sha2(F.regexp_replace(text, "[ \\t-\\r]+", "").cast("binary"), 256)).withColumn(n, F.length(text))
+    stays = decided.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(of), F.col("n_points").alias(points))
+    match = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(of)) & (F.col(n) == F.col(points))
+    again = again.join(stays, match, "left_semi").dropDuplicates([id_col, sha, n]).drop(sha, n)
     return single.unionByName(again)
