@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, id_and_text, map_text, materialise, sized
+from .common import bound_batches, discard, fresh, id_and_text, map_text, materialise, sized
 from .components import components
 
 WIDTH, BANDS, ROWS, BATCH = 5, 32, 4, 32
@@ -274,7 +274,8 @@ def _block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = m.where("comp <> main").select(*same, F.lit(0).alias("side"), own("nl").alias("i"), every("nr").alias("j"))
     right = m.select(*same, F.lit(1).alias("side"), every("nl").alias("i"), own("nr").alias("j"))
-    rows = left.unionByName(right)
+    # Dealt anew: by key alone, as the join leaves them, all blocks of a full bucket would be one task's.
+    rows = left.unionByName(right).repartition("key", "i", "j")
     wanted = materialise(rows.groupBy("key", "i", "j").applyInArrow(_wanted(threshold_pct, miss), rows.schema), "wanted")
     nodes = wanted.select(F.col("node").alias("_id")).distinct()
     sets = map_text(docs.join(sized(nodes, "nodes"), "_id", "left_semi"), emit, "s array<bigint>", ["_id"]).withColumnRenamed("_id", "node")
@@ -335,5 +336,6 @@ def near_duplicates(
 def keep_first(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows without a
     doc_id stay."""
-    dropped = decided.where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(sized(dropped, "dropped"), F.col(id_col) == F.col("__drop"), "left_anti")
+    (drop,) = fresh(docs, "drop")
+    dropped = decided.where("not kept").select(F.col("doc_id").alias(drop)).distinct()
+    return docs.join(sized(dropped, "dropped"), F.col(id_col) == F.col(drop), "left_anti")
