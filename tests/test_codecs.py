@@ -257,3 +257,19 @@ def test_png_kinds():
     assert grey(png(9, 9, 8, 0, body, 1)) == want.tolist()
     with pytest.raises(Unreadable):
         images.read_png(png(9, 9, 8, 0, b"\0"))
+
+
+@pytest.mark.parametrize(
+    ("body", "text", "lang"),
+    [
+        (rb"\deflang1033 Hello \u-10179?\u-8704? there", "Hello 😀 there", "en-US"),
+        (rb"\deflang1031 Ja {\lang1036 beaucoup de mots} nein", "Ja beaucoup de mots nein", "fr-FR"),
+        (rb"\deflang1033\deflangfe1041 a \u26085?\u26412?\u-30050?", "a 日本語", "ja-JP"),
+        (rb"half \u-10179? and \u-8704? end \u-10179?", "half � and � end �", ""),
+        (rb"\lang1024 none", "none", ""),
+    ],
+)
+def test_rich_text_surrogates_and_languages(body, text, lang):
+    d = office.read_rtf(rb"{\rtf1\ansi " + body + rb"}")
+    assert " ".join(blocks.write_text(d).decode().split()) == text
+    assert d.lang == lang

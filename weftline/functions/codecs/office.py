@@ -640,12 +640,29 @@ RTF_TEXT = {"par": "\n", "line": "\n", "tab": "\t", "emdash": "—", "endash": "
 RTF_TOKEN = re.compile(rb"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
 
 
+# Windows language ids and their tags; other ids, as 1024, mark no language.
+RTF_LANGUAGES = {
+    1025: "ar-SA", 1026: "bg-BG", 1027: "ca-ES", 1028: "zh-TW", 1029: "cs-CZ", 1030: "da-DK", 1031: "de-DE", 1032: "el-GR", 1033: "en-US", 1034: "es-ES",
+    1035: "fi-FI", 1036: "fr-FR", 1037: "he-IL", 1038: "hu-HU", 1040: "it-IT", 1041: "ja-JP", 1042: "ko-KR", 1043: "nl-NL", 1044: "nb-NO", 1045: "pl-PL",
+    1046: "pt-BR", 1048: "ro-RO", 1049: "ru-RU", 1050: "hr-HR", 1051: "sk-SK", 1053: "sv-SE", 1054: "th-TH", 1055: "tr-TR", 1057: "id-ID", 1058: "uk-UA",
+    1060: "sl-SI", 1061: "et-EE", 1062: "lv-LV", 1063: "lt-LT", 1065: "fa-IR", 1066: "vi-VN", 1068: "az-Latn-AZ", 1081: "hi-IN", 1086: "ms-MY", 1087: "kk-KZ",
+    2052: "zh-CN", 2055: "de-CH", 2057: "en-GB", 2058: "es-MX", 2060: "fr-BE", 2067: "nl-BE", 2070: "pt-PT", 3076: "zh-HK", 3079: "de-AT", 3081: "en-AU",
+    3082: "es-ES", 3084: "fr-CA", 4105: "en-CA", 4108: "fr-CH", 5129: "en-NZ", 6153: "en-IE", 11274: "es-AR",
+}
+EAST_ASIAN = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def read_rtf(raw: bytes) -> Document:
-    """Paragraphs, styles and simple tables; groups that hold no text are skipped."""
+    """Paragraphs, styles and simple tables; groups that hold no text are skipped.
+
+    The language is the one that marks most letters, East Asian letters being marked
+    by their own words; two \\u of a surrogate pair are one character, and half of a
+    pair alone is U+FFFD."""
     if not raw.lstrip()[:5].startswith(b"{\\rtf"):
         raise Unreadable("not rich text")
     page = "cp1252"
-    state = {"b": False, "i": False, "strike": False, "skip": False, "uc": 1}
+    state = {"b": False, "i": False, "strike": False, "skip": False, "uc": 1, "lang": 0, "langfe": 0}
+    of_all, votes, high = {"lang": 0, "langfe": 0}, {}, 0
     stack: list[dict] = []
     spans: list[Span] = []
     row: list[list[Span]] = []
@@ -654,7 +671,15 @@ def read_rtf(raw: bytes) -> Document:
     pending, in_table = 0, False
 
     def say(t: str) -> None:
+        nonlocal high
+        if high and t:
+            t, high = "\ufffd" + t, 0
         if not state["skip"] and t:
+            far = len(EAST_ASIAN.findall(t))
+            for k, n in (("lang", sum(map(str.isalpha, t)) - far), ("langfe", far)):
+                if n > 0:
+                    name = RTF_LANGUAGES.get(state[k] or of_all[k], "")
+                    votes[name] = votes.get(name, 0) + n
             spans.append(Span(t, state["b"], state["i"], False, state["strike"]))
 
     def end_table() -> None:
@@ -685,12 +710,24 @@ def read_rtf(raw: bytes) -> Document:
             elif k in ("b", "i", "strike"):
                 state[k] = n != 0
             elif k == "plain":
-                state |= {"b": False, "i": False, "strike": False}
+                state |= {"b": False, "i": False, "strike": False, "lang": 0, "langfe": 0}
+            elif k in ("lang", "langfe"):
+                state[k] = n or 0
+            elif k in ("deflang", "deflangfe"):
+                of_all[k.removeprefix("def")] = n or 0
             elif k == "uc":
                 state["uc"] = n or 0
             elif k == "u" and n is not None:
-                say(chr(n % 65536))
-                pending = state["uc"]
+                point, pending = n % 65536, state["uc"]
+                if high and 0xDC00 <= point < 0xE000:
+                    point, high = 0x10000 + ((high - 0xD800) << 10) + point - 0xDC00, 0
+                if 0xD800 <= point < 0xDC00:
+                    if high:
+                        high = 0
+                        say("\ufffd")
+                    high = point
+                else:
+                    say("\ufffd" if 0xDC00 <= point < 0xE000 else chr(point))
             elif k == "intbl":
                 in_table = True
             elif k == "pard":
@@ -724,6 +761,9 @@ def read_rtf(raw: bytes) -> Document:
             t = text.decode("cp1252", "replace")
             say(t[pending:])
             pending = max(0, pending - len(t))
+    if high:
+        high = 0
+        say("\ufffd")
     end_paragraph()
     end_table()
-    return Document(blocks)
+    return Document(blocks, lang=_lang_votes(votes))

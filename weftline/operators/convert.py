@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees
-from weftline.operators.jobs import MAX_INPUT
+from weftline.operators.jobs import size_code
 from weftline.plans.catalog import GROUPS, KNOB_RANGES, edges
 
 Convert = Callable[[bytes, Mapping[str, str]], bytes]
@@ -210,14 +210,14 @@ def convert(files: DataFrame, content: str, path: str, options: str | None = Non
     options: a map<string,string> column; name: the source's name for packing.
     Rows map one to one, without a shuffle."""
     spark = files.sparkSession
-    limit = F.octet_length(content) > MAX_INPUT
+    code = size_code(F.octet_length(content))
     staged = files.select(
         "*",
-        F.when(~limit, F.col(content)).alias("__raw"),
+        F.when(code.isNull(), F.col(content)).alias("__raw"),
         F.col(path).alias("__path"),
         (F.col(options) if options else F.create_map().cast("map<string,string>")).alias("__options"),
         (F.col(name) if name else F.lit("")).alias("__name"),
-        F.when(limit, "too_large").alias("__code"),
+        code.alias("__code"),
     )
     own = files.columns
     schema = files.schema.add("result", "binary").add("error_code", "string").add("detail", "string")

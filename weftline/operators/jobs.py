@@ -19,6 +19,11 @@ CODES = (
 MERGE_PICTURES = ("pdf", "mp4", "webm", "mkv", "gif")
 
 
+def size_code(size: Column, limit: int = MAX_INPUT) -> Column:
+    """too_large for contents beyond the limit of built-in steps, else null."""
+    return F.when(size > limit, "too_large")
+
+
 def page_range(text: Column) -> Column:
     """struct<first, last> of "", "3", "2-5" or "2-": 0 is open; null if malformed."""
     t = F.trim(F.coalesce(text, F.lit("")))

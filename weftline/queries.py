@@ -420,7 +420,7 @@ def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, octet_length(encode(text)) AS size, CASE WHEN octet_length(encode(text)) > 8192 THEN 'too_large' END AS error_code FROM documents")
 def too_large_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("text").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.when(size > 8192, "too_large").alias("error_code"))
+    return table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), J.size_code(size, 8192).alias("error_code"))
 
 
 @query(f"""WITH n AS ({_NAMED}), f AS (SELECT doc_id % 50 AS selection, id FROM n LEFT JOIN {FORMATS_SQL.replace('AS v(', 'AS f(')} ON f.ext = lower(regexp_extract(name, '^.+\\.([^.]+)$', 1))),
