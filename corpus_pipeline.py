@@ -2,6 +2,10 @@
 
 Toxic documents go, then exact duplicates, then near duplicates; the rest is put
 in the order of the sources' mix and encoded, each row with its position in it.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty
+tables and further columns of any name, and keeps the columns it is given (the last one
+returns its own); what it does with such rows is stated at its operator and below.
 """
 
 from __future__ import annotations
@@ -23,20 +27,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: that with most code points, then the smallest doc_id.  Null
+    and empty texts are one text; a row without doc_id stays where it is the only one."""
     return exact_dedup.keep_first(docs, materialise(exact_dedup.exact_duplicates(docs), "exact"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group.  Texts without words and rows
+    without doc_id stay."""
     return minhash.keep_first(docs, minhash.near_duplicates(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mix, which their files and rows keep.  Null sources
+    are a source of their own; rows of equal doc_id follow in any order."""
     mixed = mixing.mix(docs, mix_weights())
     return mixing.in_order(mixed, docs.select("doc_id").count()).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed rows, as written, with their position in the mix."""
+    """(doc_id, position, n_tokens, ids_sha256, decoded_sha256, ids) of the mixed rows, as
+    written; null and empty texts have no ids.  ``docs`` must be read from files, as
+    run() and a writer of stages do, since files and rows give the position."""
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), splitting_pattern()
     placed = mixing.placed(docs).withColumnRenamed("__position", "position")
     return bpe.round_trip(placed, path, pattern, with_ids=True, keep=["position"])
