@@ -47,3 +47,21 @@ def test_position_in_the_mix(spark, stages):
     assert {r.doc_id: r.position for r in stages[-1].collect()} == want
     assert {r.doc_id: r.position for r in P.run(spark, SF).collect()} == want
     assert sorted(want.values()) == list(range(len(want))) and len(stages[4].inputFiles()) > 1
+
+
+def test_odd_rows_pass_every_stage(spark, clashing, odd_rows, docs_of):
+    from weftline.llm.common import materialise
+
+    for docs in (clashing, docs_of([])):
+        seen = [docs]
+        for name, f in P.STAGES[:-1]:
+            seen.append(materialise(f(spark, seen[-1], SF), name))
+            assert seen[-1].columns == docs.columns
+        out = P.STAGES[-1][1](spark, seen[-1], SF).collect()
+        assert sorted(r.position for r in out) == list(range(len(out)))
+        if docs is clashing:
+            # 5 and 8 repeat 4's text, 2 and 3 are empty like 1, 7 is near 6, 8 has equal words
+            assert {r.doc_id for r in out} <= {i for i, _ in odd_rows} and None in {r.doc_id for r in out}
+            assert len(out) == len({r.doc_id for r in out}) == 4
+        else:
+            assert out == []
