@@ -57,9 +57,11 @@ def _sums(at: np.ndarray, size: int, weight: tuple[np.ndarray, np.ndarray] | Non
     return out
 
 
-def fit(texts: list[tuple[str, int]], rounds: int = 60, penalty: float = 0.5, alpha: float = 1.0) -> dict:
+def fit(texts: list[tuple[str, int]], rounds: int = 100, penalty: float = 8.0, alpha: float = 1.0) -> dict:
     """The table of weight times ratio by feature, and the bias.
 
+    The penalty and the rounds were chosen over three folds of labelled rows that
+    aren't held out: a smaller penalty takes more clean texts for toxic ones.
     With one class only, or no row, the score is that class's share everywhere."""
     y = np.array([label for _, label in texts], np.float64)
     table = np.zeros(1 << BITS, np.float32)
