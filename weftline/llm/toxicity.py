@@ -57,7 +57,7 @@ def _sums(at: np.ndarray, size: int, weight: tuple[np.ndarray, np.ndarray] | Non
     return out
 
 
-def fit(texts: list[tuple[str, int]], rounds: int = 100, penalty: float = 8.0, alpha: float = 1.0) -> dict:
+def fit(texts: list[tuple[str, int]], rounds: int = 60, penalty: float = 2.0, alpha: float = 1.0) -> dict:
     """The table of weight times ratio by feature, and the bias.
 
     The penalty and the rounds were chosen over three folds of labelled rows that
