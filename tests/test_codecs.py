@@ -1,3 +1,4 @@
+import contextlib
 import io
 import zipfile
 
@@ -227,6 +228,38 @@ def test_pictures_agree_with_the_jvm(spark, tmp_path):
         assert np.abs(jvm - own).max() <= (3 if k == "jpg" else 0), k
 
 
+@pytest.mark.parametrize("size", [(61, 83), (16, 16), (7, 130)])
+def test_jpeg_of_another_encoder(spark, tmp_path, size):
+    """Files of the JVM's encoder, which halves the colours.  Both kinds hold the same
+    coefficients; its decoder blends halved colours, so the luma is compared to it."""
+    h, w = size
+    y, x = np.mgrid[0:h, 0:w]
+    p = np.stack([x * 255 // w, y * 255 // h, 128 + 100 * np.sin(x / 9) * np.cos(y / 7), np.full_like(x, 255)], axis=2).astype(np.uint8)
+    (tmp_path / "in.bmp").write_bytes(images.write_bmp(p))
+    jvm, back = spark._jvm, []
+    io, file = jvm.javax.imageio.ImageIO, jvm.java.io.File
+    luma = np.array([0.299, 0.587, 0.114])
+    for progressive in (False, True):
+        out = tmp_path / f"{progressive}.jpg"
+        writer = io.getImageWritersByFormatName("jpeg").next()
+        how = writer.getDefaultWriteParam()
+        how.setProgressiveMode(int(progressive))
+        writer.setOutput(io.createImageOutputStream(file(str(out))))
+        picture = io.read(file(str(tmp_path / "in.bmp")))
+        writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), how)
+        writer.getOutput().close()
+        raw = out.read_bytes()
+        assert (b"\xff\xc2" in raw) == progressive
+        theirs = np.array(list(io.read(file(str(out))).getRGB(0, 0, w, h, None, 0, w))).astype(np.int64).reshape(h, w)
+        theirs = np.stack([theirs >> 16 & 255, theirs >> 8 & 255, theirs & 255], axis=2)
+        back.append(photos.read_jpg(raw))
+        assert back[-1].shape == p.shape and np.abs((back[-1][..., :3] - theirs) @ luma).mean() < 1
+        for cut in (raw[: len(raw) // 3], raw[:200], raw[:30]):
+            with contextlib.suppress(Unreadable):
+                photos.read_jpg(cut)
+    assert np.array_equal(*back)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.binary(max_size=3000))
 def test_lzw(data):

@@ -6,6 +6,7 @@ import heapq
 import struct
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -388,12 +389,173 @@ def write_jpg(p: np.ndarray, quality: int = 85) -> bytes:
     return head + seg(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + bytes(body) + b"\xff\xd9"
 
 
+class _Bits:
+    """The entropy-coded bits of a JPEG scan; zeros follow where a marker ends it."""
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.at, self.held, self.n = raw, at, 0, 0
+
+    def take(self, k: int) -> int:
+        while self.n < k:
+            if self.at >= len(self.raw):
+                raise Unreadable("a short picture")
+            b = self.raw[self.at]
+            if b != 255:
+                self.at += 1
+            elif self.raw[self.at + 1 : self.at + 2] == b"\0":
+                self.at += 2
+            else:
+                b = 0
+            self.held, self.n = self.held << 8 | b, self.n + 8
+        self.n -= k
+        v = self.held >> self.n
+        self.held &= (1 << self.n) - 1
+        return v
+
+    def symbol(self, table: dict) -> int:
+        code = 0
+        for bits in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (s := table.get((bits, code))) is not None:
+                return s
+        raise Unreadable("a wrong code")
+
+    def value(self, k: int) -> int:
+        v = self.take(k) if k else 0
+        return v if not k or v >> (k - 1) else v - (1 << k) + 1
+
+    def to_marker(self, kinds: range) -> None:
+        """Go to the next marker of the kinds; what is held is dropped."""
+        self.held = self.n = 0
+        while self.at + 1 < len(self.raw) and not (self.raw[self.at] == 255 and self.raw[self.at + 1] in kinds):
+            self.at += 1
+
+
+@dataclass
+class _Part:
+    """One colour of a JPEG: its coefficients by block, as whole units of the picture."""
+
+    across: int
+    down: int
+    quantiser: int
+    shape: tuple[int, int]
+    blocks: np.ndarray
+
+
+class _Pass:
+    """One scan over places first..last of the blocks, at ``low`` bits above the
+    lowest; ``high`` is the bit that an earlier scan ended at, 0 for none."""
+
+    def __init__(self, bits: _Bits, first: int, last: int, high: int, low: int):
+        self.bits, self.first, self.last, self.high, self.low = bits, first, last, high, low
+        self.zz, self.empty, self.before = _zigzag().tolist(), 0, {}
+
+    def block(self, b: list[int], i: int, dc: dict, ac: dict) -> None:
+        if self.first == 0:
+            if self.high:
+                b[0] |= self.bits.take(1) << self.low
+            else:
+                self.before[i] = self.before.get(i, 0) + self.bits.value(self.bits.symbol(dc))
+                b[0] = self.before[i] << self.low
+        if self.last:
+            (self._refined if self.high else self._new)(b, ac, max(self.first, 1))
+
+    def _run(self, r: int) -> int:
+        """Blocks without a further value, this one included."""
+        return (1 << r) + self.bits.take(r)
+
+    def _new(self, b: list[int], ac: dict, k: int) -> None:
+        while k <= self.last and not self.empty:
+            r, size = divmod(self.bits.symbol(ac), 16)
+            if size:
+                k += r
+                if k > self.last:
+                    raise Unreadable("a wrong run")
+                b[self.zz[k]] = self.bits.value(size) * (1 << self.low)
+                k += 1
+            elif r == 15:
+                k += 16
+            else:
+                self.empty = self._run(r)
+        self.empty -= self.empty > 0
+
+    def _refined(self, b: list[int], ac: dict, k: int) -> None:
+        while k <= self.last:
+            zeros, made = 64, 0  # an empty block: only what is known gets its bit
+            if not self.empty:
+                zeros, size = divmod(self.bits.symbol(ac), 16)
+                if size:
+                    made = 1 if self.bits.take(1) else -1
+                elif zeros < 15:
+                    self.empty, zeros = self._run(zeros), 64
+            while k <= self.last:
+                z, k = self.zz[k], k + 1
+                if b[z]:
+                    if self.bits.take(1):
+                        b[z] += (1 if b[z] > 0 else -1) << self.low
+                elif zeros:
+                    zeros -= 1
+                else:
+                    b[z] = made * (1 << self.low)
+                    break
+        self.empty -= self.empty > 0
+
+
+def _code_tables(data: bytes) -> dict[int, dict]:
+    out = {}
+    while len(data) > 16:
+        code, k, table = 0, 17, {}
+        for bits in range(1, 17):
+            for _ in range(data[bits]):
+                if k >= len(data):
+                    raise Unreadable("a short table")
+                table[bits, code] = data[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        out[data[0]], data = table, data[k:]
+    return out
+
+
+def _scan(raw: bytes, at: int, head: bytes, parts: dict[int, _Part], codes: dict[int, dict], every: int) -> int:
+    """Decode one scan into its parts' blocks; the place of the marker after it."""
+    n = head[0]
+    if len(head) < 4 + 2 * n or any(head[1 + 2 * i] not in parts for i in range(n)):
+        raise Unreadable("an unknown JPEG kind")
+    first, last, bit = head[1 + 2 * n : 4 + 2 * n]
+    if not first <= last < 64 or (first and n > 1):
+        raise Unreadable("a wrong scan")
+    use = [(parts[head[1 + 2 * i]], codes.get(head[2 + 2 * i] >> 4, {}), codes.get(16 | head[2 + 2 * i] & 15, {})) for i in range(n)]
+    run = _Pass(_Bits(raw, at), first, last, bit >> 4, bit & 15)
+    if n == 1:  # a part by itself has no blocks beyond the picture's edge
+        down, across = use[0][0].shape
+    else:
+        across = use[0][0].blocks.shape[1] // use[0][0].across
+        down = use[0][0].blocks.shape[0] // use[0][0].down
+    for unit in range(across * down):
+        if every and unit and unit % every == 0:
+            run.bits.to_marker(range(0xD0, 0xD8))
+            run.bits.at += 2
+            run.before, run.empty = {}, 0
+        y, x = divmod(unit, across)
+        for i, (part, dc, ac) in enumerate(use):
+            high, wide = (1, 1) if n == 1 else (part.down, part.across)
+            for by in range(y * high, (y + 1) * high):
+                for bx in range(x * wide, (x + 1) * wide):
+                    b = part.blocks[by, bx].tolist()
+                    run.block(b, i, dc, ac)
+                    part.blocks[by, bx] = b
+    run.bits.to_marker(range(0xD8, 0xFF))
+    return run.bits.at
+
+
 def read_jpg(raw: bytes) -> np.ndarray:
-    """A baseline file of grey or colour; progressive ones aren't read."""
+    """A file of one or several scans, baseline or progressive, of grey, colour or
+    four inks."""
     if raw[:2] != b"\xff\xd8":
         raise Unreadable("not a JPEG")
-    at, tables, codes, frame, every, adobe = 2, {}, {}, None, 0, None
-    zz = _zigzag()
+    at, tables, codes, every, adobe, w, h = 2, {}, {}, 0, None, 0, 0
+    parts: dict[int, _Part] = {}
+    scans, zz = 0, _zigzag()
     while at + 4 <= len(raw):
         if raw[at] != 255:
             raise Unreadable("a wrong marker")
@@ -401,129 +563,64 @@ def read_jpg(raw: bytes) -> np.ndarray:
         if kind == 255:
             at += 1
             continue
+        if kind == 0xD9:
+            break
         size = struct.unpack(">H", raw[at + 2 : at + 4])[0]
         data, at = raw[at + 4 : at + 2 + size], at + 2 + size
         if kind == 0xDB:
             while data:
                 wide, i = data[0] >> 4, data[0] & 15
                 n = 128 if wide else 64
+                if len(data) <= n:
+                    raise Unreadable("a short table")
                 table = np.zeros(64)
                 table[zz] = np.frombuffer(data[1 : 1 + n], ">u2" if wide else np.uint8)
                 tables[i], data = table.reshape(8, 8), data[1 + n :]
         elif kind == 0xC4:
-            while len(data) > 16:
-                sizes = data[1:17]
-                code, k, table = 0, 17, {}
-                for bits in range(1, 17):
-                    for _ in range(sizes[bits - 1]):
-                        table[bits, code] = data[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                codes[data[0]], data = table, data[k:]
-        elif kind in (0xC0, 0xC1):
-            if data[0] != 8:
-                raise Unreadable("not eight bits")
+            codes |= _code_tables(data)
+        elif kind in (0xC0, 0xC1, 0xC2):
+            if parts or len(data) < 6 or data[0] != 8 or len(data) < 6 + 3 * data[5]:
+                raise Unreadable("an unknown JPEG kind")
             h, w, n = struct.unpack(">HHB", data[1:6])
             sized(w, h)
-            frame = [(data[6 + 3 * i], data[7 + 3 * i] >> 4, data[7 + 3 * i] & 15, data[8 + 3 * i]) for i in range(n)]
-        elif 0xC2 <= kind <= 0xCF and kind not in (0xC8, 0xCC):
-            raise Unreadable("a progressive picture")
+            given = [(data[6 + 3 * i], data[7 + 3 * i] >> 4, data[7 + 3 * i] & 15, data[8 + 3 * i]) for i in range(n)]
+            if n not in (1, 3, 4) or not all(0 < x < 5 and 0 < y < 5 for _, x, y, _ in given):
+                raise Unreadable("an unknown JPEG kind")
+            if n == 1:
+                given = [(given[0][0], 1, 1, given[0][3])]
+            big_x, big_y = max(g[1] for g in given), max(g[2] for g in given)
+            units = -(-h // (8 * big_y)), -(-w // (8 * big_x))
+            for ident, x, y, q in given:
+                seen = -(-(-(-h * y // big_y)) // 8), -(-(-(-w * x // big_x)) // 8)
+                parts[ident] = _Part(x, y, q, seen, np.zeros((units[0] * y, units[1] * x, 64), np.int32))
+        elif 0xC3 <= kind <= 0xCF and kind not in (0xC8, 0xCC):
+            raise Unreadable("an unknown JPEG kind")
         elif kind == 0xDD:
             every = struct.unpack(">H", data[:2])[0]
-        elif kind == 0xEE and data[:5] == b"Adobe":
+        elif kind == 0xEE and data[:5] == b"Adobe" and len(data) > 11:
             adobe = data[11]
         elif kind == 0xDA:
-            break
-    if frame is None or len(frame) not in (1, 3) or data[0] != len(frame):
-        raise Unreadable("an unknown JPEG kind")
-    use = {data[1 + 2 * i]: (data[2 + 2 * i] >> 4, 16 | data[2 + 2 * i] & 15) for i in range(data[0])}
-    big_h, big_v = max(f[1] for f in frame), max(f[2] for f in frame)
-    if len(frame) == 1:
-        frame = [(frame[0][0], 1, 1, frame[0][3])]
-        big_h = big_v = 1
-    across, down = -(-w // (8 * big_h)), -(-h // (8 * big_v))
-    planes = [np.zeros((down * f[2], across * f[1], 64)) for f in frame]
-    held = n = 0
-
-    def bit_fill() -> None:
-        nonlocal held, n, at
-        if at < len(raw):
-            b = raw[at]
-            if b == 255:
-                if at + 1 < len(raw) and raw[at + 1] == 0:
-                    at += 2
-                else:
-                    held, n = held << 8, n + 8  # at a marker: zeros
-                    return
-            else:
-                at += 1
-            held, n = held << 8 | b, n + 8
-        else:
-            raise Unreadable("a short picture")
-
-    def take(k: int) -> int:
-        nonlocal held, n
-        while n < k:
-            bit_fill()
-        n -= k
-        v = held >> n
-        held &= (1 << n) - 1
-        return v
-
-    def symbol(table: dict) -> int:
-        code = 0
-        for bits in range(1, 17):
-            code = code << 1 | take(1)
-            if (s := table.get((bits, code))) is not None:
-                return s
-        raise Unreadable("a wrong code")
-
-    def value(k: int) -> int:
-        v = take(k) if k else 0
-        return v if not k or v >> (k - 1) else v - (1 << k) + 1
-
-    last = [0] * len(frame)
-    for unit in range(across * down):
-        if every and unit and unit % every == 0:
-            held = n = 0
-            while at + 1 < len(raw) and not (raw[at] == 255 and 0xD0 <= raw[at + 1] <= 0xD7):
-                at += 1
-            at += 2
-            last = [0] * len(frame)
-        y, x = divmod(unit, across)
-        for i, (ident, fh, fv, _) in enumerate(frame):
-            dc, ac = (codes[t] for t in use[ident])
-            for by in range(fv):
-                for bx in range(fh):
-                    block = planes[i][y * fv + by, x * fh + bx]
-                    last[i] += value(symbol(dc))
-                    block[0] = last[i]
-                    k = 1
-                    while k < 64:
-                        s = symbol(ac)
-                        if s & 15 == 0:
-                            if s != 0xF0:
-                                break
-                            k += 16
-                            continue
-                        k += s >> 4
-                        if k > 63:
-                            raise Unreadable("a wrong run")
-                        block[zz[k]] = value(s & 15)
-                        k += 1
+            if not parts or not data:
+                raise Unreadable("an unknown JPEG kind")
+            at, scans = _scan(raw, at, data, parts, codes, every), scans + 1
+    if not scans or any(p.quantiser not in tables for p in parts.values()):
+        raise Unreadable("no picture")
     c = _cosines()
     full = []
-    for plane, (_, fh, fv, q) in zip(planes, frame, strict=True):
-        px = c.T @ (plane.reshape(*plane.shape[:2], 8, 8) * tables[q]) @ c + 128
-        px = px.transpose(0, 2, 1, 3).reshape(plane.shape[0] * 8, -1)
-        full.append(px.repeat(big_v // fv, axis=0).repeat(big_h // fh, axis=1)[:h, :w])
-    out = np.full((h, w, 4), 255, np.uint8)
+    for part in parts.values():
+        px = c.T @ (part.blocks.reshape(*part.blocks.shape[:2], 8, 8) * tables[part.quantiser]) @ c + 128
+        px = px.transpose(0, 2, 1, 3).reshape(part.blocks.shape[0] * 8, -1)
+        full.append(px[np.arange(h) * part.down // big_y][:, np.arange(w) * part.across // big_x])
     if len(full) == 1:
         rgb = np.repeat(full[0][..., None], 3, axis=2)
-    elif adobe == 0:
-        rgb = np.stack(full, axis=2)
+    elif adobe == 0 or (len(full) == 4 and adobe is None):
+        rgb = np.stack(full[:3], axis=2)
     else:
         luma, cb, cr = full[0], full[1] - 128, full[2] - 128
         rgb = np.stack([luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb], axis=2)
-    out[..., :3] = np.clip(np.rint(rgb), 0, 255)
+    rgb = np.clip(np.rint(rgb), 0, 255)
+    if len(full) == 4:  # inks are stored as what they leave of the light
+        rgb = np.rint(rgb * np.clip(np.rint(full[3]), 0, 255)[..., None] / 255)
+    out = np.full((h, w, 4), 255, np.uint8)
+    out[..., :3] = rgb
     return out
