@@ -389,6 +389,11 @@ def write_jpg(p: np.ndarray, quality: int = 85) -> bytes:
     return head + seg(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + bytes(body) + b"\xff\xd9"
 
 
+# Markers within a scan, and those that end one.
+RESTARTS = frozenset(range(0xD0, 0xD8))
+MARKERS = frozenset(range(0xC0, 0xFF)) - RESTARTS
+
+
 class _Bits:
     """The entropy-coded bits of a JPEG scan; zeros follow where a marker ends it."""
 
@@ -424,7 +429,7 @@ class _Bits:
         v = self.take(k) if k else 0
         return v if not k or v >> (k - 1) else v - (1 << k) + 1
 
-    def to_marker(self, kinds: range) -> None:
+    def to_marker(self, kinds: frozenset[int]) -> None:
         """Go to the next marker of the kinds; what is held is dropped."""
         self.held = self.n = 0
         while self.at + 1 < len(self.raw) and not (self.raw[self.at] == 255 and self.raw[self.at + 1] in kinds):
@@ -533,7 +538,7 @@ def _scan(raw: bytes, at: int, head: bytes, parts: dict[int, _Part], codes: dict
         down = use[0][0].blocks.shape[0] // use[0][0].down
     for unit in range(across * down):
         if every and unit and unit % every == 0:
-            run.bits.to_marker(range(0xD0, 0xD8))
+            run.bits.to_marker(RESTARTS)
             run.bits.at += 2
             run.before, run.empty = {}, 0
         y, x = divmod(unit, across)
@@ -544,7 +549,7 @@ def _scan(raw: bytes, at: int, head: bytes, parts: dict[int, _Part], codes: dict
                     b = part.blocks[by, bx].tolist()
                     run.block(b, i, dc, ac)
                     part.blocks[by, bx] = b
-    run.bits.to_marker(range(0xD8, 0xFF))
+    run.bits.to_marker(MARKERS)
     return run.bits.at
 
 
