@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees
+from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees, webp
 
 PICTURE = np.random.default_rng(3).integers(0, 256, (12, 16, 4), dtype=np.uint8)
 
@@ -17,6 +17,62 @@ def test_exact_pictures(kind):
     assert np.array_equal(images.READERS[kind](images.WRITERS[kind](PICTURE)), PICTURE)
 
 
+@pytest.mark.parametrize("shape", [(12, 16), (1, 1), (1, 700), (530, 3), (61, 83)])
+def test_webp_round_trip(shape):
+    """Noise, smooth and flat pictures, also wider than a block of predictions."""
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    noise = np.random.default_rng(5).integers(0, 256, (*shape, 4), dtype=np.uint8)
+    smooth = np.stack([x, y, x + y, np.full_like(x, 255)], axis=2).astype(np.uint8)
+    for p in (noise, smooth, np.full((*shape, 4), 7, np.uint8), noise // 120):
+        assert np.array_equal(webp.read_webp(webp.write_webp(p)), p)
+    raw = webp.write_webp(noise)
+    for bad in (raw[:15], raw[:30], raw[: len(raw) // 2], b"RIFF0000WEBPVP8 \1\0\0\0x"):
+        with pytest.raises(Unreadable):
+            webp.read_webp(bad)
+
+
+def _webp(fields):
+    """A file of (value, bits) fields, by hand from the format's description."""
+    held = sum(v << sum(n for _, n in fields[:i]) for i, (v, n) in enumerate(fields))
+    data = held.to_bytes((sum(n for _, n in fields) + 7) // 8, "little")
+    return b"RIFF\0\0\0\0WEBPVP8L" + len(data).to_bytes(4, "little") + data
+
+
+def _alone(*symbols):
+    return [(1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)]
+
+
+def test_webp_palette():
+    head = [(0x2F, 8), (4, 14), (1, 14), (0, 1), (0, 3)]
+    # Three colours, each stated as the step from the one before.
+    colours = [(1, 1), (3, 2), (2, 8), (0, 1), *_alone(10, 20), *_alone(1), *_alone(2), *_alone(255, 0), *_alone(0)]
+    colours += [(0, 1), (1, 1), (1, 1), (0, 1), (1, 1), (0, 1)]  # green and alpha of each; the smaller symbol is 0
+    # Four places of two bits a byte, two bytes a line of five pixels.
+    rows = [(0, 1), (0, 1), (0, 1), *_alone(0b00100100, 0b10), *_alone(0), *_alone(0), *_alone(255), *_alone(0)]
+    rows += [(1, 1), (0, 1), (0, 1), (1, 1)]
+    p = webp.read_webp(_webp(head + colours + rows))
+    table = np.array([[1, 10, 2, 255], [2, 30, 4, 255], [3, 50, 6, 255]], np.uint8)
+    assert np.array_equal(p, table[np.array([[0, 1, 2, 0, 2], [2, 0, 0, 0, 0]])])
+
+
+def test_webp_copies_and_cache():
+    a, b = (255 << 24 | 1 << 16 | 5 << 8 | 7), (255 << 24 | 1 << 16 | 6 << 8 | 7)
+    place = [v * 0x1E35A7BD % 2**32 >> 31 for v in (a, b)]
+    assert place == [1, 0]
+    said, code, size = webp._written_code(np.bincount([5, 6, 256 + 3, 280, 281], minlength=282))
+    put = lambda s: (int(code[s]), int(size[s]))
+    fields = [(0x2F, 8), (3, 14), (1, 14), (0, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)]
+    fields += [*said, *_alone(1), *_alone(7), *_alone(255), *_alone(4)]
+    # Two pixels, four copied from two before (the sixth near place), two from the cache.
+    fields += [put(5), put(6), put(256 + 3), (1, 1), put(280), put(281)]
+    p = webp.read_webp(_webp(fields))
+    assert p[..., 1].tolist() == [[5, 6, 5, 6], [5, 6, 6, 5]] and p[0, 0].tolist() == [1, 5, 7, 255]
+
+
+def test_webp_nearest_offsets():
+    assert len(webp.NEAR) == 120 and webp.NEAR[:6] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0)] and webp.NEAR[-1] == (8, 7)
+
+
 @pytest.mark.parametrize("kind", ["bmp", "pnm"])
 def test_flattened_pictures(kind):
     p = images.READERS[kind](images.WRITERS[kind](PICTURE))

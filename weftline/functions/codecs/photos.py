@@ -298,10 +298,10 @@ def quantisers(quality: int) -> list[np.ndarray]:
     return [np.clip((t * scale + 50) // 100, 1, 255) for t in (luma, chroma)]
 
 
-def _code_lengths(count: Counter) -> dict[int, int]:
-    """Prefix code lengths of at most 16 bits, with no code of ones only: a place is
-    kept for one more symbol, and over-long codes are evened out."""
-    heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(count.items()))] + [(0, -1, [-1])]
+def code_lengths(count: Counter, most: int = 16, spare: bool = True) -> dict[int, int]:
+    """Prefix code lengths of at most ``most`` bits; over-long codes are evened out.
+    With ``spare``, a place is kept for one more symbol, so no code is of ones only."""
+    heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(count.items()))] + [(0, -1, [-1])] * spare
     heapq.heapify(heap)
     depth = Counter()
     while len(heap) > 1:
@@ -310,7 +310,7 @@ def _code_lengths(count: Counter) -> dict[int, int]:
             depth[s] += 1
         heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
     lengths = sorted(depth.values())
-    while lengths[-1] > 16:
+    while lengths[-1] > most:
         # The longest pair gives a bit up: its parent takes one, the other goes under a shorter code.
         top = lengths[-1]
         lengths.remove(top)
@@ -365,7 +365,7 @@ def write_jpg(p: np.ndarray, quality: int = 85) -> bytes:
                 run = 0
             if run:
                 marks.append((2 + t, 0, 0, 0))
-    made = [_codes(_code_lengths(Counter(s for t, s, _, _ in marks if t == k) or Counter({0: 1}))) for k in range(4)]
+    made = [_codes(code_lengths(Counter(s for t, s, _, _ in marks if t == k) or Counter({0: 1}))) for k in range(4)]
     held = n = 0
     body = bytearray()
     for t, s, size, value in marks:

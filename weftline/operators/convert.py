@@ -16,15 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees
+from weftline.functions.codecs import Unreadable, archives, blocks, fonts, images, office, pdf, photos, trees, webp
 from weftline.operators.jobs import size_code
 from weftline.plans.catalog import GROUPS, KNOB_RANGES, edges
 
 Convert = Callable[[bytes, Mapping[str, str]], bytes]
-#: Picture kinds without a coder here: their edges exist, and give an error row.
-NOT_CODED = {"webp"}
-READ_PICTURE = {**images.READERS, "jpg": photos.read_jpg, "gif": photos.read_gif, "tiff": photos.read_tiff}
-WRITE_PICTURE = {**images.WRITERS, "jpg": photos.write_jpg, "gif": photos.write_gif, "tiff": photos.write_tiff}
+READ_PICTURE = {**images.READERS, "jpg": photos.read_jpg, "gif": photos.read_gif, "tiff": photos.read_tiff, "webp": webp.read_webp}
+WRITE_PICTURE = {**images.WRITERS, "jpg": photos.write_jpg, "gif": photos.write_gif, "tiff": photos.write_tiff, "webp": webp.write_webp}
 
 
 def lang_of(options: Mapping[str, str]) -> str:
@@ -76,8 +74,6 @@ def _picture(src: str, dst: str) -> Convert:
             return pdf.write_pictures([raw])
         if src == "jpg" and dst == "svg":
             return images.svg(raw, "jpeg", *pdf.jpeg_size(raw)[:2])
-        if src in NOT_CODED or dst in NOT_CODED:
-            raise Unreadable(f"no coder for {src if src in NOT_CODED else dst}")
         p = READ_PICTURE[src](raw)
         if dst == "pdf":
             return pdf.write_pictures([p])
