@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import messages, text
+from weftline.functions.codecs import images, photos, webp
 from weftline.operators import detect as D
 from weftline.operators import engines as E
 from weftline.operators import jobs as J
@@ -229,3 +230,31 @@ def test_parts_are_bounded_by_entries_and_unreadable_archives_are_rows(spark):
     assert len(parts) == 2 and sum(r.n_entries for r in parts) == n
     bad = spark.createDataFrame([("b", bytearray(b"no archive"), "zip")], "sel string, data binary, fmt string")
     assert [(r.sel, r.entry, r.error_code) for r in V.unpack(bad, "sel", "data", "fmt").collect()] == [("b", None, "unreadable")]
+
+
+def test_job_chain(spark):
+    """Every file keeps its row: converted, badly asked for, unplanned or broken."""
+    from weftline.operators.run import run_files
+
+    png = images.write_png(np.full((3, 4, 4), 200, np.uint8))
+    rows = [("a.png", png, {"quality": "90", "crf": "nonsense"}), ("b.png", png, {"quality": "0"}), ("c.zzz", b"x", {}), ("d.png", b"broken", {}), ("e.mp3", b"x", None), ("f.webp", webp.write_webp(np.full((3, 4, 4), 9, np.uint8)), None), ("g.png", None, {})]
+    files = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, content binary, knobs map<string,string>, row int")
+    got = {r.name: r for r in run_files(files, "jpg", knobs="knobs").collect()}
+    assert len(got) == len(rows) and [got[r[0]].row for r in rows] == list(range(len(rows)))
+    assert got["a.png"].output == "a.jpg" and photos.read_jpg(bytes(got["a.png"].result)).shape == (3, 4, 4)
+    assert got["f.webp"].error_code is None
+    codes = {n: r.error_code for n, r in got.items() if r.error_code}
+    assert codes.pop("e.mp3") in ("no_route", "engine_missing") and got["b.png"].detail == "quality" and got["c.zzz"].output == "c.jpg"
+    assert codes == {"b.png": "bad_options", "c.zzz": "unknown_format", "d.png": "convert_failed", "g.png": "read_failed"}
+    assert {r.error_code for r in run_files(files, "nonsense").collect()} == {"no_target"}
+
+
+@pytest.mark.parametrize(("knob", "value", "variant", "fails"), [
+    ("max_height", "4321", "", True), ("max_height", " 720 ", "", False), ("preset", "ebook", "pdf", False), ("preset", "ebook", "video", True), ("preset", "fast", "", False),
+    ("preset", "ebook", "", True), ("dpi", "35", "", True), ("dpi", "x", "", True), ("picture", "waveform", "", False), ("picture", "photo", "", True), ("at", "-1", "", True),
+    ("every", "3600", "", False), ("duration", "0", "", True), ("icon_sizes", "app", "", False), ("icon_sizes", "16", "", True), ("pdfa", "maybe", "", False), ("merge", None, "", False),
+    ("pages", "5-2", "", True), ("pages", "2-", "", False), ("unknown", "x", "", False), ("bitrate", "", "", False), ("bitrate", "97", "", True),
+])
+def test_every_knob(spark, knob, value, variant, fails):
+    d = spark.createDataFrame([(knob, value, variant)], "knob string, value string, variant string")
+    assert J.invalid_knobs(d).count() == int(fails)

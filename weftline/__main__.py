@@ -9,24 +9,18 @@ def main(args: list[str]) -> int:
         print(__doc__, file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
-    from weftline.operators.convert import convert, route_path
     from weftline.operators.detect import detect
-    from weftline.operators.jobs import plan_files
-    from weftline.plans.planner import routes
+    from weftline.operators.run import run_files
 
     spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
     source, target = Path(args[0]), Path(args[1])
     knobs = dict(a.split("=", 1) for a in args[2:])
     fmt = detect(spark.createDataFrame([(target.name,)], "name string")).head().format or ""
     file = spark.createDataFrame([(source.name, bytearray(source.read_bytes()), knobs)], "name string, content binary, knobs map<string,string>")
-    planned = plan_files(file, routes(spark, ()), routes(spark), fmt)
-    ready = planned.where("error_code is null").drop("error_code", "missing").withColumn("route", route_path(F.col("keys")))
-    row = convert(ready, "content", "route", "knobs", "name").head()
-    if row is None or row.error_code:
-        why = row or planned.head()
-        print(f"{why.error_code}: {row.detail if row else why.missing or ''}", file=sys.stderr)
+    row = run_files(file, fmt, knobs="knobs").head()
+    if row.error_code:
+        print(f"{row.error_code}: {row.detail or ''}", file=sys.stderr)
         return 1
     target.write_bytes(row.result)
     return 0

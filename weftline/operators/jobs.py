@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.detect import detect
-from weftline.plans.catalog import GROUPS, formats, knobs_df
+from weftline.plans.catalog import GROUPS, KNOB_CHOICES, KNOB_RANGES, formats
 from weftline.work import numbered
 
 # Limits of built-in steps, and the failure codes.
@@ -35,49 +35,54 @@ def page_range(text: Column) -> Column:
     return F.when(t == "", F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))).when(ok, pair)
 
 
+def knob_fails(knob: Column, value: Column, variant: Column) -> Column:
+    """Whether a knob's value isn't allowed; an absent value and an unknown knob are."""
+    number = F.trim(value).try_cast("int")
+    bad = F.when(F.coalesce(value, F.lit("")) == "", False).when(knob == "pages", page_range(value).isNull())
+    for k, (least, most, _) in KNOB_RANGES.items():
+        bad = bad.when(knob == k, number.isNull() | (number < least) | (number > most))
+    for (k, of), words in KNOB_CHOICES.items():
+        if k not in ("pdfa", "merge"):  # any text is a truth value
+            here = variant.isin(of, "") if (k, of) == ("preset", "video") else (F.lit(of == "") | (variant == of))
+            bad = bad.when((knob == k) & here, ~value.isin(*words.split()))
+    return bad.otherwise(False)
+
+
 def invalid_knobs(answers: DataFrame) -> DataFrame:
-    """Of (knob, value, variant), those whose value isn't allowed; an absent value
-    and an unknown knob are."""
-    known = knobs_df(answers.sparkSession).select("knob", F.col("variant").alias("_v"), "kind", "least", "most", "choices")
-    j = answers.join(F.broadcast(known), "knob").where((F.col("_v") == F.coalesce("variant", F.lit(""))) | (F.col("_v") == "") | ((F.col("knob") == "preset") & (F.coalesce("variant", F.lit("")) == "") & (F.col("_v") == "video")))
-    number = F.trim("value").try_cast("int")
-    bad = (
-        F.when(F.coalesce("value", F.lit("")) == "", False)
-        .when(F.col("kind") == "int", number.isNull() | (number < F.col("least")) | (number > F.col("most")))
-        .when(F.col("kind") == "pages", page_range(F.col("value")).isNull())
-        .when(F.col("kind") == "select", ~F.array_contains("choices", F.col("value")))
-        .otherwise(False)
-    )
-    return j.where(bad).select(*answers.columns)
+    """Of (knob, value, variant), those whose value isn't allowed."""
+    return answers.where(knob_fails(F.col("knob"), F.col("value"), F.coalesce("variant", F.lit(""))))
 
 
 def int_knob(value: Column, knob: str) -> Column:
     """A number within the knob's range, its default where there is none."""
-    from weftline.plans.catalog import KNOB_RANGES
-
     lo, hi, default = KNOB_RANGES[knob]
     return F.least(F.greatest(F.coalesce(F.trim(value).try_cast("int"), F.lit(default)), F.lit(lo)), F.lit(hi))
 
 
-def plan_files(files: DataFrame, routes: DataFrame, every: DataFrame, target: str, name: str = "name", size: str | None = None) -> DataFrame:
-    """Adds format, stem, the route's keys and engines, and error_code with
-    missing engines; errors are rows, never exceptions.
+def plan_files(files: DataFrame, routes: DataFrame, every: DataFrame, target: str, name: str = "name", size: str | None = None, knobs: str | None = None) -> DataFrame:
+    """Adds format, stem, the route's keys and engines, and error_code; missing names
+    the engines that lack or the knobs (of a map column) that the route has and whose
+    values aren't allowed.  Errors are rows, never exceptions.
 
     Routes of a static catalogue are a broadcast table; a pair is planned once,
     however many files have it."""
     d = detect(files, name)
-    to = [F.broadcast(r.where(F.col("dst") == target).select(F.col("src").alias(f"_{p}"), F.col("keys").alias(f"{p}_keys"), F.col("engines").alias(f"{p}_engines"))) for r, p in ((routes, "own"), (every, "all"))]
+    to = [F.broadcast(r.where(F.col("dst") == target).select(F.col("src").alias(f"_{p}"), F.col("keys").alias(f"{p}_keys"), F.col("engines").alias(f"{p}_engines"), F.col("knobs").alias(f"{p}_knobs"), F.col("variant").alias(f"{p}_variant"))) for r, p in ((routes, "own"), (every, "all"))]
     j = d.join(to[0], F.col("format") == F.col("_own"), "left").join(to[1], F.col("format") == F.col("_all"), "left")
     local = F.size("own_engines") == 0
     large = (F.col(size) > MAX_INPUT) & local if size else F.lit(False)
+    bad = F.array().cast("array<string>")
+    if knobs:
+        bad = F.array_sort(F.filter("own_knobs", lambda k: knob_fails(k, F.col(knobs)[k], F.col("own_variant"))))
     code = (
         F.when(F.lit(target not in {f.id for f in formats()}), "no_target")
         .when(F.col("format").isNull(), "unknown_format")
         .when(F.col("own_keys").isNull() & F.col("all_keys").isNotNull(), "engine_missing")
         .when(F.col("own_keys").isNull(), "no_route")
+        .when(F.size(bad) > 0, "bad_options")
         .when(large, "too_large")
     )
-    missing = F.when(code == "engine_missing", F.array_join("all_engines", ","))
+    missing = F.when(code == "engine_missing", F.array_join("all_engines", ",")).when(code == "bad_options", F.array_join(bad, ", "))
     return j.select(*files.columns, "format", "stem", F.col("own_keys").alias("keys"), F.col("own_engines").alias("engines"), code.alias("error_code"), missing.alias("missing"))
 
 
@@ -86,11 +91,20 @@ def page_number(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"-([0-9]{1,9})\.[A-Za-z0-9]+\z", 1).try_cast("int"), F.lit(0))
 
 
+def _base(stem: str, src: str, dst: Column | str, pdfa: Column | None) -> Column:
+    mark = F.when(pdfa if pdfa is not None else F.lit(False), ".pdfa").otherwise(".compressed")
+    return F.concat(F.col(stem), F.when(F.col(src) == dst, mark).otherwise(""))
+
+
+def output_name(stem: str, src: str, dst: Column, ext: Column, pdfa: Column | None = None) -> Column:
+    """The name of a file's only output: stem.ext, marked where the format stays."""
+    return F.concat(_base(stem, src, dst, pdfa), F.lit("."), ext)
+
+
 def output_names(items: DataFrame, file: str, stem: str, src: str, dst: str, ext: str, page: str, pdfa: Column | None = None) -> DataFrame:
     """Adds output: stem.ext; stem-page.ext for sets of pages; a mark before the
     extension where the format stays."""
-    mark = F.when(pdfa if pdfa is not None else F.lit(False), ".pdfa").otherwise(".compressed")
-    base = F.concat(F.col(stem), F.when(F.col(src) == F.col(dst), mark).otherwise(""))
+    base = _base(stem, src, F.col(dst), pdfa)
     w = W.partitionBy(file)
     several = (F.count("*").over(w) > 1) | (F.col(page) > 0)
     place = F.row_number().over(w.orderBy(page))

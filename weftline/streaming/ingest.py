@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from weftline.operators.convert import convert, route_path
-from weftline.operators.jobs import plan_files
-from weftline.plans.planner import routes
+from weftline.operators.run import Routes, planned_routes, run_files
 from weftline.sources.files import read_stream
 
 
-def planned_routes(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
-    """The routes to one target, by built-in steps and by all engines, planned once:
-    a row a format, held by the driver."""
-    held = []
-    for r in (routes(spark, ()), routes(spark)):
-        r = r.where(F.col("dst") == target)
-        held.append(spark.createDataFrame(r.collect(), r.schema))
-    return held[0], held[1]
-
-
-def convert_batch(files: DataFrame, target: str, plan: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def convert_batch(files: DataFrame, target: str, plan: Routes | None = None) -> DataFrame:
     """(path, modified, output, result, error_code, detail) of (path,
     modificationTime, length, content) rows, by built-in steps only."""
-    own, full = plan or planned_routes(files.sparkSession, target)
     named = files.withColumn("name", F.regexp_extract("path", r"([^/]*)\z", 1))
-    planned = plan_files(named, own, full, target, size="length")
-    ready = planned.where("error_code is null").drop("error_code").withColumn("route", route_path(F.col("keys")))
-    made = convert(ready, "content", "route", name="name")
-    out = F.concat(F.col("stem"), F.lit(f".{target}"))
-    columns = ["path", F.col("modificationTime").alias("modified"), out.alias("output"), "result", "error_code", "detail"]
-    failed = planned.where("error_code is not null").withColumns({"result": F.lit(None).cast("binary"), "detail": F.col("missing")})
-    return made.select(*columns).unionByName(failed.select(*columns))
+    made = run_files(named, target, size="length", plan=plan)
+    return made.select("path", F.col("modificationTime").alias("modified"), "output", "result", "error_code", "detail")
 
 
 def convert_stream(spark, source: str, sink: str, checkpoint: str, target: str) -> StreamingQuery:
