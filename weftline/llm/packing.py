@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -103,6 +104,14 @@ class Shard:
         return self.ids(self.start(k), int(self.ends[k]))
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: its own where
+    Latin-1 shows one, else the next from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class JsonTokenizer:
     """encode(text) -> ids of a tokenizers file, as bytes; the file's own
     splitting pattern makes each pre-token independent, so they're remembered.
@@ -124,11 +133,17 @@ class JsonTokenizer:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         self.alone = bool(plain) and not spec.get("normalizer") and not spec.get("post_processor")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split, self.known = Splitter(self.PATTERN), Remembered(self._one, REMEMBERED)
+        self.split, self.known = Splitter(self.PATTERN), Remembered(self._piece, REMEMBERED)
+        self.merged, self.mapped = self.lib.model.tokenize, byte_letters()
 
     def _one(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """One pre-token's ids from the model itself, which takes bytes as letters."""
+        letters = piece.encode().decode("latin-1").translate(self.mapped)
+        return array("I", [t.id for t in self.merged(letters)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         if not self.alone or any(s in text for s in self.special):
             return self._one(text)
