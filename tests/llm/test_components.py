@@ -61,3 +61,34 @@ def test_sample_is_bounded_and_skips_held_out(spark, docs_of):
     assert 0 < len(got) <= 50 and all(len(t) <= 5 for _, t, _ in got) and got == sorted(got)
     every = labelled_sample(docs, labels, "doc_id", "y", 10_000, 10)
     assert len(every) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))
+
+
+@pytest.mark.parametrize("kind", ["chain", "random", "star", "repeated", "empty"])
+def test_few_edges_and_many(spark, kind, monkeypatch):
+    from weftline.llm import components as C
+
+    rng = random.Random(3)
+    edges = {
+        "chain": [(i, i + 1) for i in range(0, 600, 2)] + [(i + 1, i) for i in range(599, 0, -2)],
+        "random": [(rng.randrange(-900, 2**62, 10**16), rng.randrange(400)) for _ in range(500)] + [(None, 1), (5, 5), (7, None)],
+        "star": [(10**9, i) for i in range(1, 300)],
+        "repeated": [(3, 2), (2, 3), (3, 2), (9, 9)] * 40,
+        "empty": [],
+    }[kind]
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (C.FEW_EDGES, len(edges), 0):
+        monkeypatch.setattr(C, "FEW_EDGES", most)
+        got = [(r.node, r.component) for r in components(df).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == plain(edges)
+
+
+def test_few_edges_take_few_jobs(spark):
+    """On skewed input with 211 shuffle partitions, rounds of shuffles took a third of op1's time."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(150)], "u long, v long")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    try:
+        assert {r.component for r in components(edges).collect()} == {0}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) <= 3

@@ -69,3 +69,12 @@ def test_bounds_miss_little():
 
 def test_words_lower_only_ascii():
     assert M.words("AÉ\x0bB c") == ["aÉ".encode(), "b c".encode()]
+
+
+def test_more_pairs_and_links_than_are_few(docs_of, rows, monkeypatch):
+    from weftline.llm import common, components
+
+    monkeypatch.setattr(common, "FEW", 5)
+    monkeypatch.setattr(components, "FEW_EDGES", 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute.near(rows)

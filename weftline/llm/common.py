@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.work import materialise, work_path
 
-__all__ = ["bound_batches", "discard", "fresh", "held_out", "id_and_text", "labelled_sample", "map_text", "materialise", "per_worker", "sized", "table", "texts_of", "work_path"]
+__all__ = ["bound_batches", "discard", "few", "fresh", "held_out", "id_and_text", "labelled_sample", "map_text", "materialise", "per_worker", "sized", "table", "texts_of", "work_path"]
 
 #: Rows and bytes of one Arrow batch.  Texts can be very long, so the default of
 #: 10,000 rows would let one batch outgrow a Python worker; a batch is held several
@@ -36,15 +36,20 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-#: Rows of ids (8 bytes each) that are broadcast at most.
+#: Rows of ids (8 bytes each, or 16 of two) that are broadcast at most.
 FEW = 1_000_000
 
 
+def few(written: DataFrame) -> bool:
+    """Whether a written frame is small enough to be broadcast."""
+    return written.count() <= FEW
+
+
 def sized(keys: DataFrame, name: str) -> DataFrame:
     """Materialised keys for a join: broadcast if their count is at most FEW, so
     that the other side's texts stay where they are; left to a shuffle beyond."""
     keys = materialise(keys, name)
-    return F.broadcast(keys) if keys.count() <= FEW else keys
+    return F.broadcast(keys) if few(keys) else keys
 
 
 def discard(*frames: DataFrame) -> None:

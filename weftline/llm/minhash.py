@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, fresh, id_and_text, map_text, materialise, sized
+from .common import bound_batches, discard, few, fresh, id_and_text, map_text, materialise, sized
 from .components import components
 
 WIDTH, BANDS, ROWS, BATCH = 5, 32, 4, 32
@@ -163,11 +163,11 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold_pct: in
         sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"
     )
     likely = materialise(known.mapInArrow(_prune(threshold_pct / 100, miss), "a long, b long, equal int"), "likely")
-    nodes = likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))).distinct()
-    text = docs.join(sized(nodes, "nodes"), "_id", "left_semi")
-    full = likely.select("a", "b").join(text.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
-    full = full.join(text.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a")
-    return full.mapInArrow(_verify(threshold_pct), "a long, b long").distinct()
+    pairs, near = likely.select("a", "b"), F.broadcast if few(likely) else lambda df: df
+    # Few pairs go to the texts of b, which then move once, to that of a.
+    full = docs.select(F.col("_id").alias("b"), F.col("_t").alias("tb")).join(near(pairs), "b")
+    hubs = docs.select(F.col("_id").alias("a"), F.col("_t").alias("ta")).join(near(pairs.select("a").distinct()), "a", "left_semi")
+    return full.join(hubs, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold_pct), "a long, b long").distinct()
 
 
 def _likely(t: pa.Table, threshold_pct: int, bounds: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
@@ -269,13 +269,14 @@ def _block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold
     # Written first, like the hubs, so that the join can be split at a full bucket.
     m = members.join(materialise(per, "blocks"), "key")
     spread = F.abs(F.xxhash64("node", "key"))
-    same = ["key", "band", "node", "comp", "main", "n", "sig", "bands"]
     own = lambda c: (spread % F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = m.where("comp <> main").select(*same, F.lit(0).alias("side"), own("nl").alias("i"), every("nr").alias("j"))
-    right = m.select(*same, F.lit(1).alias("side"), every("nl").alias("i"), own("nr").alias("j"))
+    every = lambda c, f: F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    left, right = every("nr", lambda j: place(0, own("nl"), j)), every("nl", lambda i: place(1, i, own("nr")))
+    at = F.explode(F.when(F.col("comp") != F.col("main"), F.concat(left, right)).otherwise(right)).alias("at")
+    rows = m.select("key", "band", "node", "comp", "main", "n", "sig", "bands", at).select("*", "at.*").drop("at")
     # Dealt anew: by key alone, as the join leaves them, all blocks of a full bucket would be one task's.
-    rows = left.unionByName(right).repartition("key", "i", "j")
+    rows = rows.repartition("key", "i", "j")
     wanted = materialise(rows.groupBy("key", "i", "j").applyInArrow(_wanted(threshold_pct, miss), rows.schema), "wanted")
     nodes = wanted.select(F.col("node").alias("_id")).distinct()
     sets = map_text(docs.join(sized(nodes, "nodes"), "_id", "left_semi"), emit, "s array<bigint>", ["_id"]).withColumnRenamed("_id", "node")
